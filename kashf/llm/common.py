@@ -92,22 +92,21 @@ def unstore(spark: SparkSession, *frames: DataFrame) -> None:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], out: str, per_bucket: int = 20_000) -> DataFrame:
+def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], out: str, per_bucket: int = 1_000, most_buckets: int = 4_096) -> DataFrame:
     """Adds ``out``: 0, 1, 2 ... within ``keys``, without gaps, without one task ever holding a whole group.
 
     Rows are spread over buckets by a hash of ``order``; a window ranks inside each
-    (keys, bucket), and the running counts of earlier buckets, which are as
-    many as there are groups and buckets, are added.
+    (keys, bucket), and the running counts of earlier buckets, at most
+    ``most_buckets`` for a group, are added. Rows that tie in ``order`` share a bucket.
     """
     from pyspark.sql import Window as W
 
-    n = df.count()
-    buckets = max(1, n // per_bucket)
+    buckets = min(most_buckets, max(1, df.count() // per_bucket))
     salted = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    inner = W.partitionBy(*keys, "_b").orderBy(*order)
-    ranked = salted.withColumn("_r", F.row_number().over(inner) - 1)
+    ranked = salted.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1)
     counts = salted.groupBy(*keys, "_b").count()
-    before = counts.withColumn("_o", F.sum("count").over(W.partitionBy(*keys).orderBy("_b")) - F.col("count")).drop("count")
-    same = [ranked[k].eqNullSafe(before[k]) for k in [*keys, "_b"]]
-    joined = ranked.join(before, same)
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("_r") + F.col("_o")).cast("long").alias(out))
+    before = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), (F.sum("count").over(W.partitionBy(*keys).orderBy("_b")) - F.col("count")).alias("_o"))
+    same = F.col("_b") == F.col("_k_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return ranked.join(before, same).select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias(out))

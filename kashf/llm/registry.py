@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe_table import op8_bpe_encode_decode
+from .packing import op7_packing
 from .token_counts import op10_token_counts
+from .topk_search import OP9_SQL, op9_topk_search
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_topk_search": op9_topk_search,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_topk_search": OP9_SQL}
