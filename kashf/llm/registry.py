@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .bpe_table import op8_bpe_encode_decode
+from .kd_shards import op6_kd_shards
 from .packing import op7_packing
+from .simhash import op3_simhash
 from .token_counts import op10_token_counts
 from .topk_search import OP9_SQL, op9_topk_search
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_simhash": op3_simhash,
+    "op6_kd_shards": op6_kd_shards,
     "op7_packing": op7_packing,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_topk_search": op9_topk_search,
