@@ -5,13 +5,15 @@ Neither the pre-tokenizer's patterns nor the added tokens reach over the
 end of such a run, so words encode alone as they do inside the text; their
 bytes, too, decode alone.
 
-Documents are dealt over blocks by a hash of their key. Each block sends its
-distinct words; the distinct words of all blocks are encoded once each and
-decoded through a join of their ids with the id-to-piece table (as many rows
-as the vocabulary, so its broadcast is bounded). The ids go back to each
-block that has the word, and a block puts its texts together by position.
-A block holds about ``block_docs`` documents, and as many words, however
-large the corpus; a frequent word is one row a block.
+Documents are dealt over blocks by a hash of their key, compressed before they are
+shuffled. Each block sends its distinct words, sorted, in one packet for each
+bucket of a hash of the word. A bucket encodes each of its distinct words
+once and answers every packet with ids in the packet's order, so they join
+their words by position and no word travels back. A block, which knows its words, joins the
+ids with the id-to-piece table (as many rows as the vocabulary, so its
+broadcast is bounded) and puts its texts together. A block holds about ``block_docs``
+documents and a bucket a share of the words of all blocks, both of which shrink with more
+partitions; a frequent word comes once from a block.
 
 Nulls are empty texts. Repeated rows are encoded each. A null key stays.
 """
@@ -20,11 +22,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_map, table, text_bytes, tokenizer_path, worker_state
+from .blocks import answered, answers_of, asked, deal, partitions, rows_of
+from .common import table, tokenizer_path, worker_state
 
 MODEL = "byte_bpe_50k.json"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -42,15 +48,12 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def id_to_piece(spark, model: str) -> DataFrame:
-    """(id, piece binary): as many rows as the vocabulary."""
+def id_to_piece(model: str) -> dict[int, bytes]:
+    """As many entries as the vocabulary."""
     from tokenizers import Tokenizer
 
-    chars, rows = byte_of_char(), []
-    for piece, i in Tokenizer.from_file(model).get_vocab(with_added_tokens=True).items():
-        known = all(c in chars for c in piece)
-        rows.append((i, bytearray(bytes(chars[c] for c in piece) if known else piece.encode())))
-    return spark.createDataFrame(rows, "id int, piece binary")
+    chars = byte_of_char()
+    return {i: bytes(chars[c] for c in piece) if all(c in chars for c in piece) else piece.encode() for piece, i in Tokenizer.from_file(model).get_vocab(with_added_tokens=True).items()}
 
 
 def _tokenizer(model: str):
@@ -65,68 +68,61 @@ def _tokenizer(model: str):
     return state[("tokenizer", model)]
 
 
-def encode_words(words: DataFrame, model: str) -> DataFrame:
-    """(word) -> (word, ids), each row encoded by the library itself."""
-
-    def fn(_, cols):
-        got = _tokenizer(model).encode_batch(cols["word"], add_special_tokens=False)
-        return {"word": cols["word"], "ids": [e.ids for e in got]}
-
-    return arrow_map(words.select("word"), fn, "word string, ids array<int>", rows=4096)
-
-
-def decode_ids(coded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Adds ``bytes``: the pieces of ``ids``, joined in order through the id-to-piece table."""
-    flat = coded.select("word", F.posexplode("ids").alias("at", "id"))
-    got = flat.join(F.broadcast(pieces), "id").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("p")))).alias("ps"))
-    joined = got.select("word", F.unhex(F.array_join(F.transform("ps", lambda x: x["p"]), "")).alias("bytes"), F.size("ps").alias("n"))
-    return coded.join(joined, "word")
+def words_by_bucket(texts, buckets: int) -> dict[int, list[str]]:
+    """The distinct words of the texts, sorted, by bucket: the same wherever it is worked out."""
+    words: set[str] = set()
+    for t in texts:
+        words.update(split_words(t))
+    found: dict[int, list[str]] = {}
+    for w in words:
+        found.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    for ws in found.values():
+        ws.sort()
+    return found
 
 
 def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", block_docs: int = 4096) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, -(-docs.count() // block_docs))
-    keyed = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-
-    def own(state, cols):
-        for b, t in zip(cols["_b"], cols["_t"]):
-            if t:
-                state.setdefault(b, set()).update(split_words(t))
-        if sum(map(len, state.values())) > 200_000:
-            return emptied(state)
-
-    def emptied(state):
-        rows = [(b, w) for b, ws in state.items() for w in ws]
-        state.clear()
-        return {"_b": [b for b, _ in rows], "word": [w for _, w in rows]}
-
-    # one exchange of the texts by block serves both the words and the texts' way back
-    dealt = keyed.repartition(parts, "_b")
-    words = arrow_map(dealt, own, "_b int, word string", setup=dict, finish=emptied).distinct()
-    coded = decode_ids(encode_words(words.select("word").distinct(), model), id_to_piece(spark, model))
-    table_ = words.join(coded.select("word", "ids", "bytes"), "word").select("_b", "word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").alias("n"), "bytes")
+    dealt, blocks = deal(docs, block_docs, False, key, text)
+    pieces = docs.sparkSession.sparkContext.broadcast(id_to_piece(model))
     kind = dict(docs.dtypes)[key]
+    key_type = to_arrow_type(docs.schema[key].dataType)
+
+    def ask(group):
+        return words_by_bucket((t for _, t in rows_of(group)), blocks)
+
+    def encode(packets):
+        distinct = list({w for ws in packets for w in ws})
+        ids: dict = {}
+        for p in range(0, len(distinct), 4096):
+            part = distinct[p : p + 4096]
+            ids.update(zip(part, (np.array(e.ids, np.uint32) for e in _tokenizer(model).encode_batch(part, add_special_tokens=False))))
+        answers = []
+        for ws in packets:
+            got = [ids[w] for w in ws]
+            answers.append((np.array([len(x) for x in got], np.uint32), np.concatenate(got)))
+        return answers
 
     def put(left, right):
-        import pyarrow as pa
-
-        words = right.column("word").to_pylist()
-        ids = dict(zip(words, right.column("ids").to_pylist()))
-        size = dict(zip(words, right.column("n").to_pylist()))
-        back = dict(zip(words, right.column("bytes").to_pylist()))
-        keys, texts = left.column("_k"), left.column("_t")
-        n, enc, dec = [], [], []
-        for i in range(left.num_rows):
-            ws = split_words(texts[i].as_py() or "")
-            n.append(sum(map(size.__getitem__, ws)))
+        rows = rows_of(left)
+        words = words_by_bucket((t for _, t in rows), blocks)
+        piece, size, ids, back = pieces.value, {}, {}, {}
+        for bucket, (n, flat) in answers_of(right).items():
+            flat, at = flat.tolist(), 0
+            for w, k in zip(words[bucket], n.tolist()):
+                own = flat[at : at + k]
+                at += k
+                size[w], ids[w], back[w] = k, ",".join(map(str, own)), b"".join(map(piece.__getitem__, own))
+        count, enc, dec = [], [], []
+        for _, t in rows:
+            ws = split_words(t)
+            count.append(sum(map(size.__getitem__, ws)))
             enc.append(hashlib.sha256(",".join(map(ids.__getitem__, ws)).encode()).hexdigest())
             dec.append(hashlib.sha256(b"".join(map(back.__getitem__, ws)).decode("utf-8", "replace").encode()).hexdigest())
-        keys = keys.combine_chunks() if hasattr(keys, "combine_chunks") else keys
-        return pa.table({key: keys, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(enc, pa.string()), "decoded_sha256": pa.array(dec, pa.string())})
+        return pa.table({key: pa.array([k for k, _ in rows], key_type), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(enc, pa.string()), "decoded_sha256": pa.array(dec, pa.string())})
 
-    return dealt.groupBy("_b").cogroup(table_.groupBy("_b")).applyInArrow(put, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    replies = answered(asked(dealt, [], ask, partitions(docs)), encode)
+    return dealt.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(put, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_encode_decode(spark, sf_dir):

@@ -17,8 +17,10 @@ A null doc_id stays. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,23 +38,29 @@ CUT = re.compile(f"[{WHITE}]+")
 class WordIds(dict):
     """Run of characters without white space -> its ids as little-endian unsigned 32-bit integers."""
 
-    most = 400_000
+    most, kept = 1_000_000, 400_000
 
     def __init__(self, model: str):
         super().__init__()
         self.tokenizer = _tokenizer(model)
 
-    def __missing__(self, word):
-        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encodes together what the cache lacks. A full cache keeps the words that it met first, the frequent ones."""
         if len(self) > self.most:
+            first = list(islice(self.items(), self.kept))
             self.clear()
-        words = [w for w in CUT.split(text) if w] if ODD.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+            self.update(first)
+        new = list(set().union(*texts).difference(self))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                ids = e.ids
+                self[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        words = [[w for w in CUT.split(t) if w] if ODD.search(t) else t.split() for t in texts]
+        self.learn(words)
+        return [b"".join(map(self.__getitem__, ws)) for ws in words]
 
 
 def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
@@ -66,8 +74,8 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
 
     def fn(words, cols):
         rows = []
-        for i, t in zip(cols["doc_id"], cols["text"]):
-            ids = words.ids(t or "") + b"\0\0\0\0"
+        for i, ids in zip(cols["doc_id"], words.ids([t or "" for t in cols["text"]])):
+            ids += b"\0\0\0\0"
             for p in range(0, len(ids), 4 * capacity):
                 part = ids[p : p + 4 * capacity]
                 rows.append((i, p // (4 * capacity), p // 4, len(part) // 4, zlib.crc32(part)))
