@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_table import op8_bpe_encode_decode
 from .chunk_dedup import op5_chunk_dedup
 from .kd_shards import op6_kd_shards
+from .minhash_dedup import op4_minhash_dedup
 from .packing import op7_packing
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
@@ -14,9 +15,10 @@ from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
-    "op5_chunk_dedup": op5_chunk_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_chunk_dedup": op5_chunk_dedup,
     "op6_kd_shards": op6_kd_shards,
     "op7_packing": op7_packing,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
