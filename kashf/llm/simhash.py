@@ -33,7 +33,7 @@ def terms(text):
     """Runs of three words as an array Column; one null for a text without words."""
     words = F.filter(F.split(F.lower(text), r"[\s]+"), lambda w: w != "")
     # a variable bound once: the word array is not split again for each run
-    runs = F.transform(F.array(words), lambda w: F.when(F.size(w) < 1, F.array(F.lit(None).cast("string"))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))))
+    runs = F.transform(F.array(words), lambda w: F.when(F.size(w) < 1, F.array(F.lit(None).cast("string"))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
     return runs[0]
 
 
