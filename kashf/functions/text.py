@@ -105,20 +105,25 @@ def words(normed) -> Column:
     return F.filter(F.split(F.lower(normed), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
+def bound(value, f) -> Column:
+    """f(value) with the value worked out once a row, however often ``f`` reads it inside its own lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def word_ngrams(ws, low: int = 1, high: int = 2) -> Column:
-    def of(n):
-        return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(w, n):
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return bound(ws, lambda w: F.concat(*[of(w, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(t, low: int = 2, high: int = 5) -> Column:
-    t = _c(t)
+    """Runs of characters; the text is split into characters once, and each run reads its own places only."""
 
-    def of(n):
-        return F.when(F.char_length(t) >= n, F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(c, n):
+        return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return bound(F.filter(F.split(_c(t), ""), lambda x: x != ""), lambda c: F.concat(*[of(c, n) for n in range(low, high + 1)]))
 
 
 def shorten(c, most: int = 260, mark: str = "…") -> Column:

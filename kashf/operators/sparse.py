@@ -23,10 +23,10 @@ def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """(key, term, w). Terms without idf are dropped before the norm is taken."""
+    """(key, term, w). Terms without idf are dropped before the norm is taken, which needs one document's terms together, no more."""
     raw = counts.join(weights.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("x") / norm).alias("w"))
 
 
 def cosine(queries: DataFrame, docs: DataFrame, qid: str = "qid", pos: str = "pos") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import times as M
+from ..functions.fine_intents import FINE_INTENTS, fine_intents
 from ..operators import compose, dense, evaluate, gate, priors, retrieve, sparse
 from ..sources import chunks as C
 from ..sources import index as I
@@ -340,8 +341,8 @@ def q_range_lines(t: str) -> str:
     lasts = "(CASE WHEN b > a THEN b - a ELSE b + 1440 - a END)"
     pts = f"((CASE WHEN {lasts} BETWEEN 360 AND 660 THEN 2 ELSE 0 END) + (CASE WHEN a BETWEEN 420 AND 600 THEN 1 ELSE 0 END) + (CASE WHEN {q_any('tn', ['العمل', 'دوام'])} THEN 1 ELSE 0 END) + (CASE WHEN intent = 'ramadan_hours' AND contains(tn, 'رمضان') THEN 1 ELSE 0 END))"
     return f"""(SELECT qid, {q_hours('intent', 'arg_min(ta, o)', 'arg_min(tb, o)')} AS line FROM (
-  SELECT qid, intent, {q_clock('x[1]')} AS ta, {q_clock('x[2]')} AS tb, (-{pts}, abs({lasts} - CASE WHEN intent = 'ramadan_hours' THEN 390 ELSE 480 END), pos, at) AS o, {pts} AS pts FROM (
-    SELECT *, {q_minutes('x[1]')} AS a, {q_minutes('x[2]')} AS b FROM (SELECT qid, intent, pos, tn, unnest(ps) AS x, unnest(range(len(ps))) AS at FROM (SELECT *, {q_pairs('tn')} AS ps FROM {t} WHERE intent IN ('work_hours', 'ramadan_hours'))))
+  SELECT qid, intent, {q_clock('x[1]')} AS ta, {q_clock('x[2]')} AS tb, (-{pts}, abs({lasts} - CASE WHEN intent = 'ramadan_hours' THEN 390 ELSE 480 END), pos, nth) AS o, {pts} AS pts FROM (
+    SELECT *, {q_minutes('x[1]')} AS a, {q_minutes('x[2]')} AS b FROM (SELECT qid, intent, pos, tn, unnest(ps) AS x, unnest(range(len(ps))) AS nth FROM (SELECT *, {q_pairs('tn')} AS ps FROM {t} WHERE intent IN ('work_hours', 'ramadan_hours'))))
   WHERE a < 1440 AND b < 1440) WHERE pts > 0 GROUP BY qid, intent)"""
 
 
@@ -471,7 +472,7 @@ def alias_gate(spark, sf_dir):
 
 
 Q_HEADINGS = f"(SELECT hid, coalesce(t, '') AS title, {q_heading('t')} AS tn, s, e FROM {X.values(X.HEADINGS, 'hid, t, s, e')})"
-Q_FINE = X.values(X.FINE, "intent, patterns, words")
+Q_FINE = X.values(FINE_INTENTS, "intent, patterns, words")
 
 
 def q_bag(list_):
@@ -482,10 +483,6 @@ def q_jaccard(a, b):
     return f"(CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END)"
 
 
-def _fine(spark):
-    return rows(spark, X.FINE, "intent string, patterns array<string>, words array<string>")
-
-
 def _headings(spark):
     return rows(spark, X.HEADINGS, "hid int, title string, page_start int, page_end int").withColumn("heading", F.lit(None).cast("string"))
 
@@ -495,7 +492,7 @@ Q_OWN = "list_distinct(list_filter(string_split(tn, ' '), lambda x: x <> ''))"
 
 @query(f"SELECT hid, intent, round({q_jaccard(Q_OWN, q_bag('words'))}, 6) AS overlap FROM {Q_HEADINGS}, {Q_FINE}")
 def heading_jaccard(spark, sf_dir):
-    h = priors.headings(_headings(spark)).join(_fine(spark), F.lit(True))
+    h = priors.headings(_headings(spark)).join(fine_intents(spark), F.lit(True))
     own = F.array_distinct(F.filter(F.split("title_norm", " "), lambda x: x != ""))
     bag = F.array_distinct(F.filter(F.flatten(F.transform("words", lambda w: F.split(T.norm_heading(w), " "))), lambda x: x != ""))
     return h.select("hid", "intent", F.round(T.jaccard(own, bag), 6).alias("overlap"))
@@ -512,7 +509,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY score DESC, hid)
 p AS (SELECT intent, unnest(CASE WHEN s >= 0 AND e >= s THEN range(s, e + 1) WHEN s >= 0 THEN [s::BIGINT] ELSE []::BIGINT[] END) AS page FROM r)
 SELECT intent, string_agg(title, ' | ' ORDER BY rk) AS headings, coalesce((SELECT string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) FROM p WHERE p.intent = r.intent), '') AS pages FROM r GROUP BY intent""")
 def heading_priors(spark, sf_dir):
-    p = priors.section_priors(_headings(spark), _fine(spark))
+    p = priors.section_priors(_headings(spark), fine_intents(spark))
     return p.select("intent", F.array_join("headings", " | ").alias("headings"), F.array_join(F.array_sort(F.col("pages").cast("array<string>")), ",").alias("pages"))
 
 
@@ -565,10 +562,10 @@ def snippet_fallback(spark, sf_dir):
 
 
 Q_TESTS = {
-    "procurement": q_any("sn", L._set("مشتريات شراء دولار دينار شيكل حد سقف 3 ثلاث عروض")),
+    "procurement": q_any("sn", L.words_of("عروض ثلاث 3 سقف حد شيكل دينار دولار شراء مشتريات")),
     "leave": f"({q_any('sn', ['اجاز'])} AND {q_digit('sn')})",
-    "break": f"({q_any('sn', L._set('رضاع بريك استراح'))} AND (regexp_matches(sn, '{Q_DURATION}') OR {q_any('sn', ['نصف ساعه', 'ربع ساعه'])}))",
-    "hourly_leave": f"({q_any('sn', ['اذن', 'مغادر'])} AND ({q_digit('sn')} OR {q_any('sn', ['حد', 'شهري'])}))",
+    "break": f"({q_any('sn', L.words_of('استراح بريك رضاع رضاعه'))} AND (regexp_matches(sn, '{Q_DURATION}') OR {q_any('sn', ['نصف ساعه', 'ربع ساعه'])}))",
+    "hourly_leave": f"({q_any('sn', ['مغادر', 'اذن'])} AND ({q_digit('sn')} OR {q_any('sn', ['حد', 'شهري'])}))",
 }
 Q_FIRST = " UNION ALL ".join(f"SELECT qid, '{k}' AS intent, arg_min(s, (rk, ord)) AS line FROM {Q_HIT_SENTENCES} WHERE {t} GROUP BY qid" for k, t in Q_TESTS.items())
 
@@ -625,7 +622,7 @@ def q_checked(rel: str) -> str:
     anchors = lambda missing: q_by("intent", L.ANCHORS, missing).replace("{x}", "bn")
     toks = lambda x: f"list_filter(string_split_regex({x}, '[^ء-يa-zA-Z0-9]+'), lambda w: length(w) >= 4 AND w <> 'هناك')"
     needs = f"(CASE WHEN intent IN ('work_hours', 'ramadan_hours', 'break') THEN true WHEN intent = 'workdays' THEN false ELSE {q_digit('qn')} OR {q_any('qn', L.CUES)} END)"
-    days = f"({q_any('body', L.WEEKDAYS)} OR (contains(bn, 'ايام') AND {q_any('bn', ['الدوام', 'العمل'])}))"
+    days = f"({q_any('body', L.WEEKDAYS)} OR (contains(bn, 'ايام') AND {q_any('bn', ['العمل', 'الدوام'])}))"
     rng = rf"{Q_CLOCK}\s*(?:[-–—]|الى|إلى|حتي|حتى|الي|إلي)\s*[0-9]"
     own = f"(CASE WHEN intent IN ('work_hours', 'ramadan_hours') THEN regexp_matches(bn, '{rng}') OR regexp_matches(bn, '{Q_TOKEN}') WHEN intent = 'break' THEN regexp_matches(bn, '{Q_DURATION_EVAL}') OR regexp_matches(bn, '{Q_TOKEN}') WHEN intent = 'workdays' THEN {days} WHEN intent IN ('leave', 'overtime', 'per_diem', 'procurement') THEN {q_digit('bn')} ELSE length(bn) >= 6 END)"
     return f"""(SELECT *, topical AND CASE WHEN {needs} THEN {anchors('true')} AND {own} ELSE length(bn) >= 6 END AS pass_strict FROM (
@@ -642,7 +639,7 @@ def q_find(test, intent):
 
 
 _LASTS = f"regexp_matches(tn, '{Q_DURATION_EVAL}')"
-_FINDS = [q_find(f"{q_any('tn', ['بريك', 'راحة', 'استراح'])} AND {_LASTS}", "break"), q_find(_LASTS, "break"), q_find(f"({q_any('text', L.WEEKDAYS)} OR (contains(tn, 'ايام') AND {q_any('text', ['الدوام', 'العمل'])}))", "workdays")]
+_FINDS = [q_find(f"{q_any('tn', ['استراح', 'راحة', 'بريك'])} AND {_LASTS}", "break"), q_find(_LASTS, "break"), q_find(f"({q_any('text', L.WEEKDAYS)} OR (contains(tn, 'ايام') AND {q_any('text', ['العمل', 'الدوام'])}))", "workdays")]
 _FINDS += [q_find(q_any("tn", ws) + (f" AND {q_digit('tn')}" if d else ""), k) for k, v in evaluate.FINDERS.items() for ws, d in v]
 Q_REPAIRED = f"""WITH c AS (SELECT * FROM {q_checked(Q_ANSWERS)}), f AS (SELECT * FROM c WHERE (NOT pass_strict OR NOT topical) AND len(pages) > 0),
 t AS (SELECT f.qid, f.intent, k.pos, k.text, {q_eval('k.text')} AS tn FROM (SELECT DISTINCT qid, intent, unnest(pages) AS page FROM f) f JOIN {Q_CHUNKS} k USING (page)),
@@ -683,9 +680,9 @@ def devset_eval(spark, sf_dir):
 
 
 @query(f"""
-SELECT j->>'$.source_filename' AS source_filename, CAST(at AS INT) AS ord, s->>'$.id' AS id, CAST(s->>'$.level' AS INT) AS level, s->>'$.title' AS title,
+SELECT j->>'$.source_filename' AS source_filename, CAST(nth AS INT) AS ord, s->>'$.id' AS id, CAST(s->>'$.level' AS INT) AS level, s->>'$.title' AS title,
   array_to_string(json_extract_string(s, '$.path[*]'), ' / ') AS path, coalesce(CAST(s->>'$.page_range[0]' AS INT), -1) AS page, s->>'$.content' AS content
-FROM (SELECT j, unnest(ss) AS s, unnest(range(len(ss))) AS at FROM (SELECT j::JSON AS j, json_extract(j::JSON, '$.sections[*]') AS ss FROM {X.values([(x,) for x in X.DOCS_JSON], 'j')}))""")
+FROM (SELECT j, unnest(ss) AS s, unnest(range(len(ss))) AS nth FROM (SELECT j::JSON AS j, json_extract(j::JSON, '$.sections[*]') AS ss FROM {X.values([(x,) for x in X.DOCS_JSON], 'j')}))""")
 def sections_explode(spark, sf_dir):
     from ..sources.ingest import DOCUMENT
 

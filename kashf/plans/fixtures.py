@@ -32,13 +32,6 @@ RANGE_TEXTS = [(1, "من 8:00 - 3:30"), (2, "0830-1530"), (3, "2024-2025"), (4,
 POSTINGS = [("section:ساعات الدوام", "policy.pdf_5_0"), ("section:ساعات الدوام", "policy.pdf_6_2"), ("section:الإجازات", "policy.pdf_11_7"), ("section:مشتريات", "9"), ("section:مشتريات", "x"), ("section:سفر", "a_b_14_10")]
 ALIASES = [("ساعات الدوام", "مواعيد العمل"), ("ساعات الدوام", "الدوام"), ("الاجازات", "اجازه"), ("مشتريات", "شراء"), ("سفر", "بدل سفر"), ("سفر", "travel")]
 HEADINGS = [(1, "ساعات الدوام الرسمي", 5, 6), (2, "الإجازة السنوية", 11, 12), (3, "دوام رمضان", 7, 7), (4, "شراء ثلاثة عروض أسعار", 13, -1), (5, None, -1, -1), (6, "ساعات من الى حتى", 9, 4), (7, "تعريفات", 1, 2)]
-FINE = [
-    ("work_hours", [r"\bساعات?\s+(?:ال)?دوام\b", r"\bالدوام\s+(?:الرئيسي|الرسمي)\b"], ["الخميس", "الأحد", "حتى", "الى", "من", "ساعات", "دوام"]),
-    ("ramadan_hours", [r"\bدوام\s+رمضان\b"], ["رمضان", "دوام"]),
-    ("annual_leave", [r"\bاجازه\s+سنوي[هة]\b"], ["ترحيل", "سنه", "ايام"]),
-    ("three_quotes", [r"\bثلاث[هة]?\s+عروض\s+اسعار\b"], ["شراء", "سقف"]),
-    ("remote_work", [r"\bعن\s+بعد\b"], ["اعتماد"]),
-]
 DEVSET = [(8, True, ["يوم"], ["سنوية", "14"]), (7, True, ["بالمئة", "دينار"], ["موافقة", "غياب"]), (3, False, [], ["الاحد"]), (9, True, ["شيكل"], [])]
 DOCS_JSON = ['{"source_filename":"solar.txt","doc_title":"Solar","sections":[{"id":"1","level":1,"title":"Intro","path":["Intro"],"content":"Panels."},{"id":"1.1","level":2,"title":"Cost","path":["Intro","Cost"],"page_range":[3,4],"content":"Ten."}]}', '{"source_filename":"empty.txt","doc_title":"Empty","sections":[]}']
 LINES = ['{"text":"a","page":"3","id":7}', '{"text":"a","page":"3","id":7},', "", '{"Text":" b "}', '{"lines":["x",2,""]}', '{"page":1}', '"bare string"', "{broken", '{"text":"c","page":"n/a"}', '{"text":5,"lines":["d"]}', '{"text":"  "}', '{"a":1} xyz', '"half "quoted""', '{"body":"e","PageNo":4}']

@@ -26,7 +26,7 @@ def numbered(df: DataFrame, name: str = "pos") -> DataFrame:
 def records(lines: DataFrame) -> DataFrame:
     """(raw) -> (v variant) of the lines that hold JSON; a quoted line that doesn't parse stays as a string, others go."""
     t = F.regexp_replace(F.regexp_replace("raw", EDGE, ""), r",+$", "")
-    closes = ((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")) | (t.startswith('"') & t.endswith('"')) | t.rlike(r"^[-\d.eE+]+$|^(true|false|null)$"))
+    closes = ((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")) | t.rlike(r'^"(?:[^"\\]|\\.)*"$') | t.rlike(r"^[-\d.eE+]+$|^(true|false|null)$"))
     parsed = F.when(closes, F.try_parse_json(t))
     kept = F.when(t.startswith('"') & t.endswith('"'), F.try_parse_json(F.to_json(F.array(t)))).otherwise(F.lit(None))
     quoted = F.try_variant_get(kept, "$[0]", "variant")
