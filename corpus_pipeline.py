@@ -21,22 +21,27 @@ from kashf.llm.common import stored, table, tokenizer_path
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    keep = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.score(docs, model, keep).where("predicted = 0").select(*docs.columns)
+    # numbered names, so that no column of docs clashes with one of the score
+    names = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
+    scored = toxicity.score(docs.toDF(*names), model, [c for c in names if c != "doc_id"])
+    return scored.where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_components(docs, n=5, percent=80, bands=38, rows=5)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    # rows that share a doc_id are of one group: the one with the least text stays
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+    return named.select("_row.*").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.suffix_dedup(docs, with_text=True).select("doc_id", "kept_text")
-    # a doc_id is unique after stage 2; rows without one keep their texts
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.col("kept_text")))
-    return joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = suffix_dedup.suffix_dedup(docs, with_text=True).where("doc_id is not null").select(F.col("doc_id").alias("_cut_id"), F.col("kept_text").alias("_cut_text"))
+    # a doc_id is unique after stage 2; only what is left of a text meets its row again. Rows without a doc_id keep their texts
+    rows = docs.where("doc_id is not null").withColumn("_no_text", F.col("text").isNull()).drop("text", "n_chars")
+    joined = rows.join(cut, F.col("doc_id") == F.col("_cut_id")).withColumn("text", F.when(~F.col("_no_text"), F.col("_cut_text")))
+    joined = joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return joined.unionByName(docs.where("doc_id is null").select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
