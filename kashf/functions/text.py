@@ -68,9 +68,9 @@ def strip(c) -> Column:
 
 def clean_sentences(c) -> Column:
     """Sentences that aren't junk; if none is left the whole text, if that is blank none."""
-    kept = F.filter(split_sentences(c), lambda s: ~is_junk(s, norm_retrieval(s)))
+    kept = F.filter(split_sentences(c), lambda s: ~bound(norm_retrieval(s), lambda n: is_junk(s, n)))
     whole = strip(F.coalesce(_c(c), F.lit("")))
-    return F.when(F.size(kept) > 0, kept).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return bound(kept, lambda k: F.when(F.size(k) > 0, k).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")))
 
 
 def has_digit(c) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .sparse import top
 
 #: A batch of questions beyond this size is joined by blocks instead of being broadcast.
@@ -17,8 +18,7 @@ def dot(a, b):
 
 def unit(v):
     """The vector at length 1; a zero vector stays."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return bound(v, lambda w: bound(F.sqrt(dot(w, w)), lambda n: F.transform(w, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def dense_scores(questions: DataFrame, index: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import gate_tokens, norm_retrieval
@@ -22,6 +23,13 @@ def parse_postings(postings: DataFrame, compat: bool = False) -> DataFrame:
     return postings.select(key.alias("heading"), grab(1).alias("file"), grab(2).try_cast("int").alias("page"), grab(3).try_cast("int").alias("ordinal"), tail.alias("pos"))
 
 
+def locate(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(heading, pos): a posting with a page means the chunk of that ordinal on the page, a plain number a position."""
+    places = chunks.where("page >= 0").select("page", "pos", (F.row_number().over(W.partitionBy("page").orderBy("pos")) - 1).alias("ordinal"))
+    on_page = postings.where("page is not null").select("heading", "page", "ordinal").join(places, ["page", "ordinal"]).select("heading", "pos")
+    return on_page.unionByName(postings.where("page is null and pos is not null").select("heading", F.col("pos").cast(chunks.schema["pos"].dataType).alias("pos")))
+
+
 def candidate_keys(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(qid, key): tokens of the question, and the canonical headings of which a name or alias stands in it.
 

@@ -22,7 +22,8 @@ def hits(index: Index, questions: DataFrame, hierarchy: tuple[DataFrame, DataFra
     scores = dense.dense_scores(questions.select("qid", encoder(qn).alias("qv")), index.dense)
     rank = lambda d, n: sparse.top(d, n).drop("rk")
     if hierarchy:
-        allowed = gate.candidates(gate.candidate_keys(questions, hierarchy[1]), hierarchy[0])
+        postings = hierarchy[0].select("heading", "pos") if compat else gate.locate(hierarchy[0], index.chunks)
+        allowed = gate.candidates(gate.candidate_keys(questions, hierarchy[1]), postings)
         near = gate.with_fallback(gate.gated(scores, allowed, rank, 60, compat), rank(scores, 60), allowed)
     else:
         near = rank(scores, 60).withColumn("gate", F.lit("open"))

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as X
 from ..operators import sparse as S
+from ..operators.dense import unit
 
 TABLES = ("chunks", "dense", "words", "word_idf", "chars", "char_idf")
 
@@ -30,12 +31,13 @@ class Index:
 def hashed_encoder(dim: int = 256):
     """An encoder that needs no model: signed counts of character trigrams, in Column functions, at length 1."""
 
+    def counts(slots):
+        hits = lambda k: F.size(F.filter(slots, lambda s: s == k))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (hits(i) - hits(i + dim)).cast("double"))
+
     def encode(norm):
-        grams = X.char_ngrams(F.lower(norm), 3, 3)
-        slots = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(2 * dim)))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(F.filter(slots, lambda s: s == i)) - F.size(F.filter(slots, lambda s: s == i + dim))).cast("double"))
-        n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float"))
+        slots = F.transform(X.char_ngrams(F.lower(norm), 3, 3), lambda g: F.pmod(F.xxhash64(g), F.lit(2 * dim)))
+        return X.bound(X.bound(slots, counts), lambda raw: F.transform(unit(raw), lambda x: x.cast("float")))
 
     return encode
 

@@ -68,6 +68,54 @@ def test_gate_falls_back_and_reranks(spark, index):
     assert [r.pos for r in back] == sorted(r.pos for r in back)
 
 
+def test_hierarchy_files(spark, tmp_path):
+    from kashf.operators import priors
+    from kashf.sources import hierarchy as H
+
+    def put(name, value):
+        (tmp_path / name).write_text(json.dumps(value, ensure_ascii=False))
+        return str(tmp_path / name)
+
+    inverted = put("i.json", {"section:الإجازات": ["a.pdf_11_0", "a.pdf_12_1", "x"], "قيد": ["4"], "none": "no list", "empty": []})
+    aliases = put("a.json", {"الإجازات": ["إجازة"], "x": []})
+    postings, names = H.load_hierarchy(spark, inverted, aliases)
+    assert {(r.heading, r.page, r.ordinal, r.pos) for r in postings.collect()} == {("الاجازات", 11, 0, 0), ("الاجازات", 12, 1, 1), ("قيد", None, None, 4)}
+    assert [tuple(r) for r in names.collect()] == [("الاجازات", "اجازه")]
+    assert "section:الاجازات" in {r.heading for r in H.load_hierarchy(spark, inverted, None, compat=True)[0].collect()}
+    assert H.load_hierarchy(spark, None, aliases) is None and H.load_hierarchy(spark, put("e.json", {}), aliases) is None
+    chunks = spark.createDataFrame([(0, 11), (1, 12), (2, 12), (3, -1)], "pos long, page int")
+    assert {(r.heading, r.pos) for r in gate.locate(postings, chunks).collect()} == {("الاجازات", 0), ("الاجازات", 2), ("قيد", 4)}
+    assert [tuple(r) for r in H.heading_tree(spark, put("t.json", {"a": []})).collect()] == [("a", [])]
+    assert [tuple(r) for r in H.leaf_nodes(spark, put("l.json", [{"path": ["s", "c"], "title": "c"}])).collect()] == [(["s", "c"], "c")]
+    spans = priors.headings(H.section_pages(postings)).first()
+    assert (spans.title, spans.page_start, spans.page_end) == ("الاجازات", 11, 12)
+
+
+def test_models_of_ones_own(spark):
+    from kashf.operators import models
+
+    d = spark.createDataFrame([("a", "some text", 0.25)], "q string, text string, score double")
+    encode = models.encoder(lambda: lambda texts: [[3.0, 4.0] for _ in texts])
+    assert [round(x, 6) for x in d.select(encode(F.col("text")).alias("v")).first().v] == [0.6, 0.8]
+
+    def broken():
+        raise RuntimeError("no model")
+
+    assert d.select(models.reranker(broken).alias("s")).first().s == 0.25
+    assert d.select(models.reranker(lambda: lambda pairs: [len(t) for _, t in pairs]).alias("s")).first().s == 9.0
+
+
+def test_command_line(spark, corpus, tmp_path, capsys):
+    from kashf import __main__ as cli
+
+    args = cli.options(["--chunks", str(corpus[2]), "--save-index", str(tmp_path / "index"), "--digits", "arabic"])
+    found = cli.ready_index(spark, args)
+    cli.ask(spark, found, None, args, ["\n", "ما هي ساعات الدوام؟\n", "quit\n", "never\n"])
+    said = capsys.readouterr().out
+    first = said.splitlines()[0]
+    assert first.startswith("ساعات الدوام من ") and not any(c in first for c in "0123456789") and said.count("Sources:") == 1
+
+
 def test_compat_gate_ranks_first(spark):
     scores = spark.createDataFrame([(1, p, 1.0 - p / 10) for p in range(9)], "qid int, pos int, score double")
     allowed = spark.createDataFrame([(1, 1), (1, 7)], "qid int, pos int")
