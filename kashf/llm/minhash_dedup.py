@@ -9,9 +9,9 @@ population count of their XOR which of these pairs can be as similar; a link is
 
 No bucket's pairs are all emitted. First every member is held against one of its
 bucket, the one that shares most with others (the original, among edited copies). Links give
-components. Then, in buckets that still hold several components, the members
-outside the largest are held against all members of other components, as a join under the sketch's condition, so a link
-between components of any bucket is found, and a second pass of components is exact.
+components. In buckets that still hold several components, the members outside the largest are held against four of its
+members, which links most of those that resemble no centre. Those left outside are held against all members of other components, as
+a join under the sketch's condition, so that a link between components of any bucket is found and the last pass of components is exact.
 
 Null and blank texts have an empty set and no links. Rows with a null doc_id have
 none either (component_id null, kept). Repeated rows are members each, with one component.
@@ -22,11 +22,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_map, stored, table, text_bytes
+from .common import arrow_map, stored, table, text_bytes, unstore
 
 SKETCH = 1024
 
@@ -90,10 +93,10 @@ def most_bits(k: int, similar: float, sigmas: float = 5.5) -> int:
 
 
 def signatures(docs: DataFrame, n: int, sampler: Sampler) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (which tell sets apart), shingles, keys and sketch of every row."""
+    """doc_id, n_shingles, s1 and s2 (which tell sets apart), keys and sketch of every row."""
 
     def fn(words, cols):
-        out = {c: [] for c in ("n_shingles", "s1", "s2", "shingles", "keys", "sketch")}
+        out = {c: [] for c in ("n_shingles", "s1", "s2", "keys", "sketch")}
         for t in cols["text"]:
             s = shingle_set(t, n, words)
             m = sampler.samples(s)
@@ -101,25 +104,52 @@ def signatures(docs: DataFrame, n: int, sampler: Sampler) -> DataFrame:
             out["n_shingles"].append(len(s))
             out["s1"].append((d & (1 << 64) - 1) - (1 << 63))
             out["s2"].append((d >> 64) - (1 << 63))
-            out["shingles"].append(s.view(np.int64))
             out["keys"].append(sampler.keys(m).view(np.int64) if len(s) else [])
             out["sketch"].append(sampler.sketch(m) if len(s) else [])
         return {"doc_id": cols["doc_id"]} | out
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_map(docs.select("doc_id", "text"), fn, f"doc_id {kind}, n_shingles long, s1 long, s2 long, shingles array<long>, keys array<long>, sketch array<long>", setup=Words)
+    return arrow_map(docs.select("doc_id", "text"), fn, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, sketch array<long>", setup=Words)
+
+
+def compressed_texts(docs: DataFrame) -> DataFrame:
+    """(rep, text), compressed before they are shuffled."""
+    pack = lambda z, cols: {"rep": cols["doc_id"], "text": [z.compress(text_bytes(t)) for t in cols["text"]]}
+    return arrow_map(docs.select("doc_id", "text"), pack, f"rep {dict(docs.dtypes)['doc_id']}, text binary", setup=lambda: zstandard.ZstdCompressor(level=3))
 
 
 def differing(a: str, b: str):
     return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH // 64)))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full sets are similar enough."""
-    x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(x, "a").join(y, "b").where(both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, block_pairs: int = 512) -> DataFrame:
+    """The (a, b), of stored pairs, whose full sets are similar enough.
+
+    Pairs are dealt over blocks by a hash of a; each block gets the texts that its pairs name, each once, so that neither
+    a document that a third of all others resemble nor its text gathers in one task.
+    """
+    blocks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // block_pairs))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
+    needs = stored(dealt.select("block", F.col("a").alias("rep")).unionByName(dealt.select("block", F.col("b").alias("rep"))).distinct(), "needs")
+    kind = dict(pairs.dtypes)["a"]
+    arrow = to_arrow_type(pairs.schema["a"].dataType)
+
+    def verify(left, right):
+        words, sets, z, out = Words(), {}, zstandard.ZstdDecompressor(), []
+        for r, t in zip(right.column("rep").to_pylist(), right.column("text")):
+            sets.setdefault(r, []).append(shingle_set(z.decompress(t.as_py()).decode("utf-8", "surrogatepass"), n, words))
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            for x in sets.get(a, ()):
+                for y in sets.get(b, ()):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both * 100 >= percent * (len(x) + len(y) - both) and (not out or out[-1] != (a, b)):
+                        out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], arrow), "b": pa.array([b for _, b in out], arrow)})
+
+    found = dealt.groupBy("block").cogroup(needs.join(texts, "rep").groupBy("block")).applyInArrow(verify, f"a {kind}, b {kind}")
+    found = stored(found, "links")
+    unstore(pairs.sparkSession, needs)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,8 +162,10 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("rep").alias("label"), F.col("label").alias("up"))
         step = stored(hooked.join(up, "label", "left").select("rep", "was", F.coalesce(F.least("label", "up"), "label").alias("label")), "labels")
         changed = not step.where("label != was").isEmpty()
+        unstore(edges.sparkSession, labels)
         labels = step.select("rep", "label")
         if not changed:
+            unstore(edges.sparkSession, two_way)
             return labels
 
 
@@ -143,30 +175,62 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     bits = most_bits(bands * rows, percent / 100)
     sig = stored(signatures(docs, n, sampler), "signatures")
     linked = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    sets = linked.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2", "doc_id"]).select(F.col("doc_id").alias("rep"), "s1", "s2", "shingles", "keys", "sketch")
-    sets = stored(sets, "classes")  # texts that differ under one doc_id are classes of one name, and so linked
-    banded = sets.select("rep", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = banded.join(shared, "key")
-    score = member.groupBy("rep").agg(F.sum("c").alias("score"))
-    member = stored(member.select("rep", "key").join(score, "rep").join(sets.select("rep", "sketch").dropDuplicates(["rep"]), "rep"), "members")
-    centre = member.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("least"), "sketch")).alias("m")).select("key", (-F.col("m.least")).alias("c"), F.col("m.sketch").alias("ck"))
-    pairs = member.join(centre, "key").where((F.col("rep") != F.col("c")) & (differing("sketch", "ck") <= bits)).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    links = stored(confirmed(pairs, sets, percent), "links")
-    labels = components(links)
-    named = stored(member.join(labels, "rep", "left").select("key", "rep", "sketch", F.coalesce("label", "rep").alias("label")), "named")
-    by_label = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = by_label.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "label")).alias("m")).where("k > 1").select("key", F.col("m.label").alias("main"))
-    rest = named.join(mixed, "key")
+    # texts that differ under one doc_id are classes of one name, and so linked
+    classes = linked.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "keys", "sketch"), "doc_id").alias("m"))
+    classes = stored(classes.select("s1", "s2", F.col("m.doc_id").alias("rep"), "m.keys", "m.sketch"), "classes")
+    banded = classes.select("rep", F.explode("keys").alias("key"))
+    shared = stored(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    seen = stored(banded.join(shared, "key"), "seen")
+    score = stored(seen.groupBy("rep").agg(F.sum("c").alias("score")), "score")
+    member = stored(seen.select("rep", "key").join(score, "rep"), "members")
+    centre = stored(member.groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("rep").alias("least"))).alias("m")).select("key", F.bitwise_not("m.least").alias("c")), "centres")
+    sketches = stored(classes.select("rep", "sketch").join(score, "rep", "left_semi"), "sketches")
+
+    def alike(pairs):
+        """(a, b) of the (a, b) whose sketches don't rule them out."""
+        x = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("ka")), "a")
+        return x.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("kb")), "b").where(differing("ka", "kb") <= bits).select("a", "b")
+
+    texts = stored(compressed_texts(docs).join(score.select("rep"), "rep", "left_semi"), "texts")
+    pairs = member.join(centre, "key").where("rep != c").groupBy(F.least("rep", "c").alias("lo"), F.greatest("rep", "c").alias("hi")).agg(F.max("c").alias("b"))
+    pairs = stored(alike(pairs.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")), "pairs")
+    links = confirmed(pairs, texts, n, percent)
+    labels, known = components(links), pairs
+    done = [shared, seen, score, centre, pairs, links]
+
+    def buckets(labels):
+        """(key, rep, label), and of the buckets with several components (key, main, some): the largest one and some members of it."""
+        named = stored(member.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "named")
+        some = [F.max_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"r{i}") for i in range(4)]
+        by_label = named.groupBy("key", "label").agg(F.count("*").alias("c"), *some).select("key", "c", "label", F.array(*[f"r{i}" for i in range(4)]).alias("some"))
+        mixed = by_label.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "label", "some")).alias("m")).where("k > 1")
+        return named, stored(mixed.select("key", F.col("m.label").alias("main"), "m.some"), "mixed")
+
+    def unknown(pairs, known):
+        return stored(pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
+
+    # members outside against a few of the largest component: most links that the centres missed
+    named, mixed = buckets(labels)
+    few = named.join(mixed, "key").where("label != main").select("rep", F.explode(F.array_distinct("some")).alias("b")).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    few = unknown(alike(few), known)
+    more_links = confirmed(few, texts, n, percent)
+    done += [named, mixed, few, more_links]
+    if not more_links.isEmpty():
+        links, known = links.unionByName(more_links), known.unionByName(few)
+        labels = components(links)
+        named, mixed = buckets(labels)
+        done += [named, mixed]
+    # what is left, against all of other components
+    rest = stored(named.join(mixed.select("key", "main"), "key").join(sketches, "rep"), "rest")
     x = rest.where("label != main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
     y = rest.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("kb"))
     more = x.join(y, "key").where((F.col("la") != F.col("lb")) & (differing("ka", "kb") <= bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = stored(confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+    more = unknown(more, known)
+    late = confirmed(more, texts, n, percent)
     if not late.isEmpty():
         labels = components(links.unionByName(late))
-    named_sets = classes.join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
+    unstore(docs.sparkSession, *done, member, sketches, texts, rest, more, late)
+    named_sets = classes.select("s1", "s2", "rep").join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
     out = sig.select("doc_id", "n_shingles", "s1", "s2").join(named_sets, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
