@@ -5,7 +5,7 @@ from __future__ import annotations
 from .bpe_table import op8_bpe_encode_decode
 from .chunk_dedup import op5_chunk_dedup
 from .kd_shards import op6_kd_shards
-from .minhash_dedup import op4_minhash_dedup
+from .minhash_dedup import OP4_SQL, op4_minhash_dedup
 from .packing import op7_packing
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {"op9_topk_search": OP9_SQL}
+SQL: dict[str, str] = {"op4_minhash_dedup": OP4_SQL, "op9_topk_search": OP9_SQL}
