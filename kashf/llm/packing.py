@@ -50,12 +50,25 @@ class WordIds(dict):
             first = list(islice(self.items(), self.kept))
             self.clear()
             self.update(first)
-        new = list(set().union(*texts).difference(self))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+        new = set().union(*texts).difference(self)
+        parts = {w: self.parts(w) for w in new}
+        lacking = list({x for p in parts.values() for x in p}.difference(self))
+        for at in range(0, len(lacking), 4096):
+            some = lacking[at : at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 ids = e.ids
                 self[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.update((w, b"".join(map(self.__getitem__, p))) for w, p in parts.items())
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, ...]:
+        """The word, or its letters and the punctuation after them, which the tokenizer parts anyway; ASCII letters in lower case, as it reads them."""
+        core = word.rstrip(".,;:!?")
+        if not core.isalpha():
+            return (word,)
+        if core.isascii():
+            core = core.lower()
+        return (core, word[len(core) :]) if len(core) < len(word) else (core,)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [[w for w in CUT.split(t) if w] if ODD.search(t) else t.split() for t in texts]

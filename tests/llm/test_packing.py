@@ -77,5 +77,22 @@ def test_pattern_of_most_worth():
         assert abs(sum(k * worth[i] for i, k in got.items()) - best) < 1e-9 and sum(k * lengths[i] for i, k in got.items()) <= 12
 
 
+def test_words_from_the_cache_encode_as_texts_do():
+    import struct
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path(P.MODEL))
+    t.no_truncation()
+    t.no_padding()
+    texts = ["Word, WORD. word; Word?! ... !!! ?x x? A.B. I'll we'll, it's. 'S 's", "İstanbul ΑΣ, ΣΑΣ. ﬁne ſo Éa E\u0301a, e\u0301. Straße! ÜBER, über", "a_b, 12, 3.5. ½! <|endoftext|>, x<|startoftext|>.", "".join(map(chr, range(33, 0x250))), "漢字。 かな, 가나. a\u200b, \u00adb.", ""]
+    texts += [prose(i, 40).title() + "," for i in range(5)]
+    words = P.WordIds(tokenizer_path(P.MODEL))
+    for _ in range(2):
+        for text, ids in zip(texts, words.ids(texts)):
+            want = t.encode(text, add_special_tokens=False).ids
+            assert ids == struct.pack(f"<{len(want)}I", *want), text
+
+
 def test_empty_table(spark):
     assert P.pack(documents(spark, []), tokenizer_path(P.MODEL)).count() == 0
