@@ -8,12 +8,22 @@ No least length is kept, since it would carry a difference on from cut to cut;
 chunks of over ``LONGEST`` bytes are cut at multiples of it.
 
 Chunks are told apart by the first 128 bits of their SHA-256. A chunk is a repeat if it stands
-earlier (smaller doc_id, or earlier in the same text). Repeats are removed
-where a run of them in a text has ``LEAST`` bytes or more, so that common short phrases stay; runs
-are judged on the input, not on what is left.
+earlier (smaller doc_id, or earlier in the same text). A text all of whose chunks are repeats goes
+whole. Of other texts those repeats go that stand in a match of ``LEAST`` bytes or more, so that common short phrases
+stay: in a run of repeats of that length, or, where the run is shorter, in a string of ``LEAST`` bytes that
+stands around an earlier copy of the chunk too, byte for byte. What a match has
+outside its whole chunks is counted but stays. All is judged on the input, not on what is left.
+This is ``around=True``, the rule of the query; without it only runs of repeats of ``LEAST`` bytes or more go,
+and the first question is the only one.
 
-Each block of documents (a range of doc_id) asks once for each of its digests whether an
-earlier block has it, so a chunk that a third of all texts hold is one entry a block.
+Each block of documents (a range of doc_id) puts three questions to buckets (see blocks.py):
+
+1. Of each of its digests: does an earlier block have it, and any other at all? A chunk that a third of all
+   texts hold is one entry a block.
+2. A match of ``LEAST`` bytes around a chunk has half of what the chunk lacks on its left or on its
+   right. Of each chunk that recurs, by the digest of either side: does it recur, and is it in a short run anywhere?
+3. Of what is left, by the digests of all strings of ``LEAST`` bytes around the chunk, with its place
+   in them: does an earlier block have one?
 
 Nulls are empty texts, without chunks. Rows with a null doc_id come first; repeated rows and rows that
 share a doc_id follow each other by text, and a later copy is a repeat. An empty table gives an empty result.
@@ -22,10 +32,12 @@ share a doc_id follow each other by text, and a later copy is a repeat. An empty
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import answered, answers_of, asked, deal, partitions, rows_of
@@ -63,18 +75,6 @@ def chunks(data: bytes, gear: np.ndarray) -> tuple[list[int], list[bytes]]:
     return ends, [hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip([0, *ends], ends)]
 
 
-def first_seen(texts, gear: np.ndarray, buckets: int) -> dict[int, list[bytes]]:
-    """The distinct digests by bucket, in the order of their first places."""
-    seen: set[bytes] = set()
-    found: dict[int, list[bytes]] = {}
-    for t in texts:
-        for d in chunks(text_bytes(t), gear)[1]:
-            if d not in seen:
-                seen.add(d)
-                found.setdefault(int.from_bytes(d[:6], "little") % buckets, []).append(d)
-    return found
-
-
 def long_runs(ends: list[int], repeat: list[bool]) -> list[tuple[int, int]]:
     """Bytes (start, end) of the runs of repeats of LEAST bytes or more."""
     runs, start = [], None
@@ -97,50 +97,188 @@ def cut_out(data: bytes, spans) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def chunk_dedup(docs: DataFrame, block_docs: int = 4096, with_text: bool = False) -> DataFrame:
+def by_bucket(keys, buckets: int) -> dict[int, list[bytes]]:
+    """Distinct digests by bucket, in their order."""
+    found: dict[int, list[bytes]] = {}
+    for d in keys:
+        found.setdefault(int.from_bytes(d[:6], "little") % buckets, []).append(d)
+    return found
+
+
+def sides(data: bytes, a: int, b: int) -> list[bytes]:
+    """Digests of the chunk data[a:b] with half of what it lacks to LEAST bytes on its left, and on its right; empty where the text has less."""
+    half = (LEAST - (b - a) + 1) // 2
+    return [hashlib.sha256(data[x:y]).digest()[:8] if x >= 0 and y <= len(data) else b"" for x, y in ((a - half, b), (a, b + half))]
+
+
+def windows(data: bytes, a: int, b: int, left: bool, right: bool) -> list[bytes]:
+    """Digests of the strings of LEAST bytes around the chunk data[a:b] and its left or right side, each with the chunk's place."""
+    half = (LEAST - (b - a) + 1) // 2
+    first, last = max(0, b - LEAST), min(a, len(data) - LEAST)
+    places = [w for w in range(first, last + 1) if left and w <= a - half or right and w + LEAST >= b + half]
+    return [hashlib.sha256(data[w : w + LEAST] + bytes((a - w, b - w))).digest()[:16] for w in places]
+
+
+class Block:
+    """The chunks of a block's texts, and what the answers tell of them."""
+
+    def __init__(self, texts, gear: np.ndarray, buckets: int):
+        self.texts, self.buckets = [text_bytes(t) for t in texts], buckets
+        self.chunks = [chunks(data, gear) for data in self.texts]
+        self.counts = Counter(d for _, ds in self.chunks for d in ds)
+        self.digests = by_bucket(self.counts, buckets)
+
+    def judge(self, answers: dict, whole: bool) -> None:
+        """gone: by text, for each chunk, whether it goes without a look at what is around it; open_: {(text, chunk): is it in a short run} of shorter chunks that recur."""
+        known, recurs = set(), set()
+        for bucket, (earlier, shared) in answers.items():
+            ds = self.digests[bucket]
+            known.update(d for d, bit in zip(ds, np.unpackbits(earlier).tolist()) if bit)
+            recurs.update(d for d, bit in zip(ds, np.unpackbits(shared).tolist()) if bit)
+        self.repeats, self.gone, self.open_ = [], [], {}
+        for i, (ends, ds) in enumerate(self.chunks):
+            repeat = []
+            for d in ds:
+                repeat.append(d in known)
+                known.add(d)
+            runs = [(0, ends[-1])] if whole and ds and all(repeat) else long_runs(ends, repeat)
+            gone, at = [], 0
+            for j, (a, b, d) in enumerate(zip([0, *ends], ends, ds)):
+                while at < len(runs) and runs[at][1] <= a:
+                    at += 1
+                gone.append(at < len(runs) and runs[at][0] <= a)
+                if b - a < LEAST and (d in recurs or self.counts[d] > 1):
+                    self.open_[i, j] = repeat[j] and not gone[j]
+            self.repeats.append(sum(repeat))
+            self.gone.append(gone)
+
+    def bounds(self, i: int, j: int) -> tuple[bytes, int, int]:
+        ends = self.chunks[i][0]
+        return self.texts[i], ends[j - 1] if j else 0, ends[j]
+
+    def ask_sides(self) -> tuple[dict[int, list[bytes]], set[bytes]]:
+        """Distinct sides by bucket, and those of chunks in short runs."""
+        self.side_of = {at: sides(*self.bounds(*at)) for at in self.open_}
+        self.side_counts = Counter(d for ds in self.side_of.values() for d in ds if d)
+        self.sought = {d for at, ds in self.side_of.items() if self.open_[at] for d in ds if d}
+        return by_bucket(self.side_counts, self.buckets), self.sought
+
+    def ask_windows(self, answers: dict) -> dict[int, list[bytes]]:
+        """Distinct windows by bucket; windows_of: {(text, chunk): windows}, in the order of the texts."""
+        found, _ = self.ask_sides()
+        hot = {d for d in self.sought if self.side_counts[d] > 1}
+        for bucket, bits in answers.items():
+            hot.update(d for d, bit in zip(found[bucket], np.unpackbits(bits).tolist()) if bit)
+        self.windows_of = {at: windows(*self.bounds(*at), *(d in hot for d in ds)) for at, ds in self.side_of.items() if not hot.isdisjoint(ds)}
+        return by_bucket(dict.fromkeys(d for ds in self.windows_of.values() for d in ds), self.buckets)
+
+    def settle(self, found: dict[int, list[bytes]], answers: dict) -> None:
+        """Marks as gone the chunks in short runs of which a window stands earlier."""
+        known = {d for bucket, bits in answers.items() for d, bit in zip(found[bucket], np.unpackbits(bits).tolist()) if bit}
+        for (i, j), ds in self.windows_of.items():
+            if self.open_[i, j] and not known.isdisjoint(ds):
+                self.gone[i][j] = True
+            known.update(ds)
+
+    def spans(self, i: int) -> list[tuple[int, int]]:
+        ends, out = self.chunks[i][0], []
+        for a, b, gone in zip([0, *ends], ends, self.gone[i]):
+            if gone and out and out[-1][1] == a:
+                out[-1] = (out[-1][0], b)
+            elif gone:
+                out.append((a, b))
+        return out
+
+
+def split(packet: bytes, size: int) -> list[bytes]:
+    return [packet[i : i + size] for i in range(0, len(packet), size)]
+
+
+def answer_chunks(packets: list[bytes]) -> list:
+    total, seen, out = Counter(), set(), []
+    for p in packets:
+        total.update(split(p, 16))
+    for p in packets:
+        ds = split(p, 16)
+        out.append((np.packbits([d in seen for d in ds]), np.packbits([total[d] > 1 for d in ds])))
+        seen.update(ds)
+    return out
+
+
+def answer_sides(packets: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
+    """Packets are distinct sides, and a bit for those that are sought: which are in more than one block, and sought in any?"""
+    keys = [np.frombuffer(k, "<u8") for k, _ in packets]
+    bits = [np.unpackbits(s, count=len(k)).astype(bool) for k, (_, s) in zip(keys, packets)]
+    found, n = np.unique(np.concatenate(keys), return_counts=True)
+    hot = np.intersect1d(found[n > 1], np.concatenate([k[s] for k, s in zip(keys, bits)]))
+    return [np.packbits(np.isin(k, hot)) for k in keys]
+
+
+def answer_windows(packets: list[bytes]) -> list[np.ndarray]:
+    seen, out = set(), []
+    for p in packets:
+        ds = split(p, 16)
+        out.append(np.packbits([d in seen for d in ds]))
+        seen.update(ds)
+    return out
+
+
+def chunk_dedup(docs: DataFrame, block_docs: int = 4096, with_text: bool = False, around: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeats, n_removed, n_spans, kept_sha256 of every row, and kept_text if asked for."""
     dealt, blocks = deal(docs, block_docs, True)
+    parts = partitions(docs)
     gear = gear_table()
 
-    def ask(group):
-        found = first_seen((t for _, t in rows_of(group, True)), gear, blocks)
-        return {b: b"".join(ds) for b, ds in found.items()}
+    def block_of(group):
+        rows = rows_of(group, True)
+        return rows, Block((t for _, t in rows), gear, blocks)
 
-    def answer(packets):
-        seen: set[bytes] = set()
-        out = []
-        for p in packets:
-            ds = [p[i : i + 16] for i in range(0, len(p), 16)]
-            out.append(np.packbits([d in seen for d in ds]))
-            seen.update(ds)
-        return out
+    def nth(answers, k):
+        """The answers to the kth question: bucket b of it has the number k * blocks + b."""
+        return {b - k * blocks: x for b, x in answers.items() if b // blocks == k}
+
+    def ask_chunks(group):
+        return {b: b"".join(ds) for b, ds in block_of(group)[1].digests.items()}
+
+    def ask_sides(group, answers):
+        _, block = block_of(group)
+        block.judge(answers, True)
+        found, sought = block.ask_sides()
+        return {b: (b"".join(ds), np.packbits([d in sought for d in ds])) for b, ds in found.items()}
+
+    def ask_windows(group, answers):
+        _, block = block_of(group)
+        block.judge(nth(answers, 0), True)
+        return {b: b"".join(ds) for b, ds in block.ask_windows(nth(answers, 1)).items()}
 
     key_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def put(left, right):
-        rows = rows_of(left, True)
-        found = first_seen((t for _, t in rows), gear, blocks)
-        known = {d for bucket, bits in answers_of(right).items() for d, bit in zip(found[bucket], np.unpackbits(bits).tolist()) if bit}
+        rows, block = block_of(left)
+        answers = answers_of(right)
+        block.judge(nth(answers, 0), around)
+        if around:
+            block.settle(block.ask_windows(nth(answers, 1)), nth(answers, 2))
         out = []
-        for k, t in rows:
-            data = text_bytes(t)
-            ends, ds = chunks(data, gear)
-            repeat = []
-            for d in ds:
-                repeat.append(d in known)
-                known.add(d)
-            spans = long_runs(ends, repeat)
+        for i, ((k, _), data, (_, ds)) in enumerate(zip(rows, block.texts, block.chunks)):
+            spans = block.spans(i)
             kept = cut_out(data, spans)
-            out.append((k, len(data), len(ds), sum(repeat), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            out.append((k, len(data), len(ds), block.repeats[i], len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
         cols = list(zip(*out)) or [[]] * 8
         names = ["doc_id", "n_bytes", "n_chunks", "n_repeats", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         kinds = [key_type, *[pa.int64()] * 5, pa.string(), pa.string()]
         return pa.table({n: pa.array(c, kind) for n, c, kind in zip(names, cols, kinds)} if with_text else {n: pa.array(c, kind) for n, c, kind in list(zip(names, cols, kinds))[:7]})
 
-    replies = answered(asked(dealt, [], ask, partitions(docs)), answer)
+    first = answered(asked(dealt, [], ask_chunks, parts), answer_chunks)
+    replies = first
+    if around:
+        second = answered(asked(dealt, [first], ask_sides, parts), answer_sides)
+        both = first.unionByName(second.withColumn("bucket", F.col("bucket") + blocks))
+        third = answered(asked(dealt, [both], ask_windows, parts), answer_windows)
+        replies = both.unionByName(third.withColumn("bucket", F.col("bucket") + 2 * blocks))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_chunks long, n_repeats long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return dealt.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(put, schema)
 
 
 def op5_chunk_dedup(spark, sf_dir):
-    return chunk_dedup(table(spark, sf_dir, "documents"))
+    return chunk_dedup(table(spark, sf_dir, "documents"), around=True)

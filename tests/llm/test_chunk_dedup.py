@@ -60,3 +60,65 @@ def test_insertions_shift_nothing(spark):
 
 def test_empty_table(spark):
     assert C.chunk_dedup(documents(spark, [])).count() == 0
+
+
+def brute_matches(data):
+    """{doc_id: bytes removed} under the whole rule, chunk by chunk against every earlier copy; doc_ids are not shared."""
+    gear = [int(x) for x in C.gear_table()]
+    places, out = {}, {}
+    for i, t in sorted((r[0], r[1] or "") for r in data):
+        b = t.encode()
+        ends = brute_chunks(b, gear)
+        cs = list(zip([0, *ends], ends))
+        matches, n = [], 0
+        for s, e in cs:
+            best = 0
+            for ob, os_, oe in places.get(b[s:e], []):
+                x = y = 0
+                while x < min(s, os_) and b[s - x - 1] == ob[os_ - x - 1]:
+                    x += 1
+                while y < min(len(b) - e, len(ob) - oe) and b[e + y] == ob[oe + y]:
+                    y += 1
+                best = max(best, x + e - s + y)
+            matches.append(best)
+            places.setdefault(b[s:e], []).append((b, s, e))
+        at = 0
+        while at < len(cs):
+            to = at
+            while to < len(cs) and matches[to]:
+                to += 1
+            run = cs[to - 1][1] - cs[at][0] if to > at else 0
+            n += sum(e - s for (s, e), m in zip(cs[at:to], matches[at:to]) if run >= C.LEAST or m >= C.LEAST or to - at == len(cs))
+            at = to + 1
+        out[i] = n
+    return out
+
+
+def short_passages():
+    data = []
+    for i in range(60):  # a shared passage, of 90 to 326 bytes, in two contexts
+        passage = prose(1000 + i, 60)[: 90 + 4 * i]
+        data += [(2 * i, f"{prose(2000 + i, 30)} {passage} {prose(3000 + i, 30)}", None, None, 0), (2 * i + 1, f"{prose(4000 + i, 25)} {passage} {prose(5000 + i, 35)}", None, None, 0)]
+    return data
+
+
+def test_matches_are_judged_with_the_bytes_around_their_chunks(spark):
+    data = short_passages()
+    want = brute_matches(data)
+    for block_docs in (7, 4096):
+        out = C.chunk_dedup(documents(spark, data), block_docs=block_docs, around=True).collect()
+        assert {r.doc_id: r.n_removed for r in out} == want
+    under = sum(0 < n < C.LEAST for n in want.values())
+    assert under > 5 and all(want[2 * i] == 0 for i in range(60))
+
+
+def test_copies_of_short_texts_go_whole(spark):
+    data = [(1, "a short text", None, None, 0), (2, prose(8, 60), None, None, 0), (3, "a short text", None, None, 0), (4, "another one", None, None, 0)]
+    out = {r.doc_id: r for r in C.chunk_dedup(documents(spark, data), block_docs=2, with_text=True, around=True).collect()}
+    assert [out[i].n_removed for i in (1, 2, 3, 4)] == [0, 0, 12, 0] and out[3].kept_text == "" and out[3].n_spans == 1
+
+
+def test_query_judges_by_the_whole_rule(spark, tmp_path):
+    data = [(1, "a short text", None, None, 0), (2, "a short text", None, None, 0)]
+    documents(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in C.op5_chunk_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 12}
