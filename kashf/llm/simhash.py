@@ -11,9 +11,11 @@ The likeness of two fingerprints that differ in d bits is cos(pi * d / BITS), at
 least 0: what SimHash estimates of the cosine of the terms' weights.
 
 Nulls are empty texts; a text without words has the fingerprint 0. Rows
-with a null doc_id have no place in the order and are left out. Rows that repeat
+with a null doc_id have no place in the order. Rows that repeat
 doc_id and text count once; different texts of one doc_id follow each
-other by text. A single document is its own successor.
+other by text. A single document is its own successor. The query returns a row for every row: what
+repeats as often as it stands in the table, and rows without a place with nulls for what
+an edit or a successor would tell (``every_row``).
 """
 
 from __future__ import annotations
@@ -119,7 +121,8 @@ def with_next(docs: DataFrame, per_bucket: int = 64, most_buckets: int = 16_384)
     return seen.where("_ghost = 0").select("doc_id", "text", "next_id", "next_text")
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def placed(docs: DataFrame) -> DataFrame:
+    """A row for each doc_id and text that has a place in the order; _x is the text's hash."""
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs).select("doc_id", "text", F.xxhash64("text").alias("_x"), n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"), "next_id", F.xxhash64("next_text").alias("_nx"))
@@ -129,8 +132,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     facts = rows.select("doc_id", "_x", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_id", "_nx")
     kept = stored(facts.join(by_doc, ["doc_id", "_x"]), "simhash")
     after = kept.select(F.col("doc_id").alias("next_id"), F.col("_x").alias("_nx"), F.col("fp").alias("np"))
-    return kept.join(after, ["next_id", "_nx"]).select("doc_id", "n_chars", "edited_sha256", text_of(F.col("fp")).alias("fingerprint"), text_of(F.col("ep")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("ep")).alias("near_edited"), likeness(F.col("fp"), F.col("np")).alias("near_next"))
+    return kept.join(after, ["next_id", "_nx"]).select("doc_id", "_x", "n_chars", "edited_sha256", text_of(F.col("fp")).alias("fingerprint"), text_of(F.col("ep")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("ep")).alias("near_edited"), likeness(F.col("fp"), F.col("np")).alias("near_next"))
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    return placed(docs).drop("_x")
+
+
+def every_row(docs: DataFrame) -> DataFrame:
+    """edited_fingerprints with a row for every row of ``docs``."""
+    found = placed(docs)
+    names = [c for c in found.columns if c != "_x"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    again = rows.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("_x")).agg(F.count("*").alias("_n")).where("_n > 1")
+    ordered = found.join(again, ["doc_id", "_x"], "left").select(*names, "_n")
+    alone = rows.where("doc_id is null").groupBy("text").agg(F.count("*").alias("_n")).withColumn("_key", F.sha2(F.col("text").cast("binary"), 256))
+    fps = fingerprints(alone, ["_key"]).select("_key", text_of(F.col("fingerprint")).alias("fingerprint"))
+    known = {"n_chars": F.char_length("text").cast("long"), "fingerprint": F.col("fingerprint")}
+    unordered = alone.join(fps, "_key").select(*[known.get(c, F.lit(None)).cast(found.schema[c].dataType).alias(c) for c in names], "_n")
+    return ordered.unionByName(unordered).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_n", F.lit(1).cast("long")))).alias("_copy")).drop("_copy")
 
 
 def op3_simhash(spark, sf_dir):
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return every_row(table(spark, sf_dir, "documents"))

@@ -83,3 +83,17 @@ def test_block_tables_find_every_pair_in_the_radius(spark):
     want = {(a, b, d(x, y)) for a, x in classes.items() for b, y in classes.items() if a < b and d(x, y) <= 12}
     assert {(r.a, r.b, r.distance) for r in pairs.collect()} == want and len(want) > 3
     assert of[0] == of[100] and len(of) == len(data)
+
+
+def test_query_returns_every_row(spark, tmp_path):
+    data = [r for r in rows() if "ſ" not in (r[1] or "") and len(r[1] or "") < 20_000]
+    data += [data[0], (5000, "said twice over", None, None, 0), (5000, "said twice over", None, None, 0), (None, "no id here", None, None, 0), (None, "no id here", None, None, 0)]
+    documents(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    out = S.op3_simhash(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+    texts = [(r[0], r[1] or "") for r in data]
+    of = {(i, "".join(f"{x:016x}" for x in brute_fingerprint(t)), len(t)): texts.count((i, t)) for i, t in set(texts) if i is not None}
+    want = [r for r in brute(data) for _ in range(of[r[0], r[3], r[1]])]
+    want += [(None, len(t), None, "".join(f"{x:016x}" for x in brute_fingerprint(t)), None, None, None) for i, t in texts if i is None]
+    assert found(out) == table(want) and len(want) == len(data)
