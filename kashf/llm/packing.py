@@ -5,9 +5,10 @@ cut. The histogram of piece lengths has at most ``capacity`` rows; all that
 follows on the driver is bounded by it. Multiplicative weights solve the program: each round prices the
 lengths, a knapsack by dynamic programming finds the pattern of most
 worth, and its lengths become cheaper. The solution, scaled to use no length
-more than there is and rounded down, places most pieces; best fit
+more than there is and rounded down, places few pieces or none where there are many lengths, as the rounds
+end long before every length is covered; best fit
 decreasing, run on the histogram, places the rest, and packs everything anew where that needs
-fewer sequences. Pieces find their places by their rank among the
+fewer sequences. On real tables it is best fit that packs. Pieces find their places by their rank among the
 pieces of their length, without any being sorted as a whole.
 
 Null texts are empty: one piece with the id 0. Repeated rows are packed each.
