@@ -7,7 +7,8 @@
 4. packing: what is kept, as pieces of sequences of at most 2048 tokens.
 
 Every stage but the last returns the columns of documents. n_chars follows the text. Nulls and repeated rows are
-handled as the operators' modules say; a document repeated whole stays once after stage 2.
+handled as the operators' modules say; a document repeated whole stays once after stage 2. Different texts that share
+a doc_id count as one document in stage 2: the least text stays. Rows without a doc_id pass stages 2 and 3 as they are.
 """
 
 from __future__ import annotations
