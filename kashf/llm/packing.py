@@ -2,14 +2,17 @@
 
 Documents become ids and a closing id 0; what is longer than a sequence is
 cut. The histogram of piece lengths has at most ``capacity`` rows; all that
-follows on the driver is bounded by it. Multiplicative weights solve the program: each round prices the
-lengths, a knapsack by dynamic programming finds the pattern of most
-worth, and its lengths become cheaper. The solution, scaled to use no length
-more than there is and rounded down, places few pieces or none where there are many lengths, as the rounds
-end long before every length is covered; best fit
-decreasing, run on the histogram, places the rest, and packs everything anew where that needs
-fewer sequences. On real tables it is best fit that packs. Pieces find their places by their rank among the
-pieces of their length, without any being sorted as a whole.
+follows on the driver is bounded by it, whatever the corpus.
+
+1. Pieces of at most 1 / ``SMALL`` of a sequence are set aside. The other lengths are grouped on a grid of ``GRID`` steps, rounded up, so that each group has a demand worth a program.
+2. Multiplicative weights solve the program: each round prices the groups, a knapsack by dynamic
+   programming finds the pattern of most worth, and its groups become cheaper. The rounds
+   end when every group is covered.
+3. The solution is rounded along the running sum of its patterns, so that what one loses the next gains, and each pattern
+   is filled with real lengths: the largest of each group, and for the last piece the largest that fits.
+4. What is left and what was set aside goes, by best fit decreasing, into the room that sequences still have, then into new ones.
+
+Pieces find their places by their rank among the pieces of their length, without any being sorted as a whole.
 
 Null texts are empty: one piece with the id 0. Repeated rows are packed each.
 A null doc_id stays. An empty table gives an empty result.
@@ -17,64 +20,99 @@ A null doc_id stays. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
-import struct
+import string
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_table import WHITE, _tokenizer
+from .bpe_table import WHITE, _tokenizer, byte_of_char
 from .common import arrow_map, dense_rank_in, stored, table, tokenizer_path, worker_state
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
+GRID, SMALL = 128, 16
 ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 CUT = re.compile(f"[{WHITE}]+")
+#: Letters that stay one letter each when they are composed and lower-cased; the dotted capital I gains a mark, which joins the punctuation after it.
+LETTERS = [chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130)]
+PLAIN = re.compile(f"([A-Za-z{''.join(LETTERS)}]+)([{re.escape(string.punctuation)}]*)")
+
 
+class WordIds:
+    """Run of characters without white space -> its ids as little-endian unsigned 32-bit integers.
 
-class WordIds(dict):
-    """Run of characters without white space -> its ids as little-endian unsigned 32-bit integers."""
+    Words of plain letters, and punctuation after them, are what the tokenizer parts a text into anyway. Their letters
+    are encoded together, by its model alone, and told apart by the ids that end a word; all
+    other words go through the whole tokenizer. Words of over ``LONGEST`` characters aren't kept, and a full cache
+    keeps the words that it met first, the frequent ones.
+    """
 
-    most, kept = 1_000_000, 400_000
+    most, kept, LONGEST = 300_000, 100_000, 48
 
     def __init__(self, model: str):
-        super().__init__()
-        self.tokenizer = _tokenizer(model)
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encodes together what the cache lacks. A full cache keeps the words that it met first, the frequent ones."""
-        if len(self) > self.most:
-            first = list(islice(self.items(), self.kept))
-            self.clear()
-            self.update(first)
-        new = set().union(*texts).difference(self)
-        parts = {w: self.parts(w) for w in new}
-        lacking = list({x for p in parts.values() for x in p}.difference(self))
-        for at in range(0, len(lacking), 4096):
-            some = lacking[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                self[w] = struct.pack(f"<{len(ids)}I", *ids)
-        self.update((w, b"".join(map(self.__getitem__, p))) for w, p in parts.items())
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """The word, or its letters and the punctuation after them, which the tokenizer parts anyway; ASCII letters in lower case, as it reads them."""
-        core = word.rstrip(".,;:!?")
-        if not core.isalpha():
-            return (word,)
-        if core.isascii():
-            core = core.lower()
-        return (core, word[len(core) :]) if len(core) < len(word) else (core,)
+        self.known: dict[str, bytes] = {}
+        self.tokenizer = _tokenizer(model)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        char = {b: c for c, b in byte_of_char().items()}
+        self.bytes_of = {ord(c): "".join(char[b] for b in c.encode()) for c in LETTERS}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes together what the cache lacks."""
+        parts, whole = {}, []
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            if m:
+                parts[w] = m[1].lower(), m[2]
+            else:
+                whole.append(w)
+        cores = list({core for core, _ in parts.values()}.difference(self.known))
+        whole = list({*whole, *(tail for _, tail in parts.values() if tail and tail not in self.known)})
+        for at in range(0, len(cores), 8192):
+            some = cores[at : at + 8192]
+            ids = np.array(self.letters.encode(" ".join(some).translate(self.bytes_of), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+            flat = ids.tobytes()
+            self.known.update((w, flat[a:b]) for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
+        for at in range(0, len(whole), 4096):
+            some = whole[at : at + 4096]
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        self.known.update((w, self.known[core] + self.known[tail] if tail else self.known[core]) for w, (core, tail) in parts.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [[w for w in CUT.split(t) if w] if ODD.search(t) else t.split() for t in texts]
-        self.learn(words)
-        return [b"".join(map(self.__getitem__, ws)) for ws in words]
+        lacking = set().union(*words).difference(self.known)
+        self.learn(lacking)
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        for w in lacking:
+            if len(w) > self.LONGEST:
+                del self.known[w]
+        if len(self.known) > self.most:
+            self.known = dict(islice(self.known.items(), self.kept))
+        return out
+
+
+def parcels(texts: list[str], most: int = 2_000_000):
+    """Slices of the list with about ``most`` characters at most, one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > most:
+            yield texts[at:i]
+            at, size = i, 0
+        size += len(t)
+    if texts:
+        yield texts[at:]
 
 
 def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
@@ -88,7 +126,8 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
 
     def fn(words, cols):
         rows = []
-        for i, ids in zip(cols["doc_id"], words.ids([t or "" for t in cols["text"]])):
+        encoded = (ids for some in parcels([t or "" for t in cols["text"]]) for ids in words.ids(some))
+        for i, ids in zip(cols["doc_id"], encoded):
             ids += b"\0\0\0\0"
             for p in range(0, len(ids), 4 * capacity):
                 part = ids[p : p + 4 * capacity]
@@ -121,8 +160,8 @@ def best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[
     return found
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit decreasing on a histogram, bins alike being handled together: [(bins, {length: copies})]."""
+def best_fit(counts: dict[int, int], capacity: int, begun=()) -> list[tuple[int, dict[int, int]]]:
+    """Best fit decreasing on a histogram, bins alike being handled together, ``begun`` ones first: [(bins, {length: copies})]."""
     open_: dict[int, list] = {}
     left: list[int] = []
     done = []
@@ -136,6 +175,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
                 open_[rem] = []
             open_[rem].append((n, pattern))
 
+    for n, pattern in begun:
+        put(capacity - sum(l * k for l, k in pattern.items()), n, pattern)
     for l in sorted(counts, reverse=True):
         n = counts[l]
         while n > 0:
@@ -150,45 +191,129 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
             each = rem // l
             use = min(bins, n // each)
             if use:
-                put(rem - each * l, use, pattern | {l: each})
+                put(rem - each * l, use, pattern | {l: pattern.get(l, 0) + each})
                 n -= use * each
             elif n:
                 use = 1
-                put(rem - n * l, 1, pattern | {l: n})
+                put(rem - n * l, 1, pattern | {l: pattern.get(l, 0) + n})
                 n = 0
             if bins > use and pattern:
                 put(rem, bins - use, pattern)
     return done + [x for v in open_.values() for x in v]
 
 
-def configuration_plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, step: float = 0.05) -> list[tuple[int, dict[int, int]]]:
-    """[(sequences, {length: pieces in each})] for the histogram ``counts``."""
-    plain = best_fit(counts, capacity)
-    lengths = np.array(sorted(counts))
-    if len(lengths) < 2:
-        return plain
-    n = np.array([counts[l] for l in lengths.tolist()], float)
-    cover, taken = np.zeros(len(n)), {}
-    for _ in range(rounds):
-        worth = np.exp(-(cover - cover.min()) / step * np.log(len(n)) * 0.5) / n
-        p = best_pattern(lengths, worth / worth.max(), capacity)
-        i, a = np.array(list(p)), np.array(list(p.values()), float)
-        x = step * float((n[i] / a).min())
-        cover[i] += x * a / n[i]
-        key = tuple(sorted(p.items()))
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1) -> dict[tuple, float]:
+    """Patterns ((place in sizes, copies), ...) and how often each is taken, fractions of it too, for the demand to be covered."""
+    cover, taken, price = np.zeros(len(sizes)), {}, math.log(len(sizes) + 1)
+    while cover.min() < 1:
+        worth = np.exp(-(cover - cover.min()) * price / (2 * step)) / demand
+        pattern = best_pattern(sizes, worth / worth.max(), capacity)
+        i, a = np.array(list(pattern)), np.array(list(pattern.values()), float)
+        x = step * float((demand[i] / a).min())
+        cover[i] += x * a / demand[i]
+        key = tuple(sorted(pattern.items()))
         taken[key] = taken.get(key, 0.0) + x
-        if cover.min() >= 1:
-            break
-    found, rest = [], dict(counts)
-    for key, x in sorted(taken.items(), key=lambda kv: -kv[1]):
-        use = int(min([x / max(1.0, cover.max()), *(rest.get(int(lengths[i]), 0) // k for i, k in key)]))
-        if use > 0:
-            pattern = {int(lengths[i]): k for i, k in key}
-            found.append((use, pattern))
-            for l, k in pattern.items():
-                rest[l] -= use * k
-    found += best_fit({l: k for l, k in rest.items() if k > 0}, capacity)
-    return min(found, plain, key=lambda plan: sum(b for b, _ in plan))
+    # what covers a group more than once is taken back: all patterns alike, by the mean cover of the tokens
+    scale = float((demand * sizes).sum() / (cover * demand * sizes).sum())
+    return {key: x * scale for key, x in taken.items()}
+
+
+class Stock:
+    """The pieces that are left, by length."""
+
+    def __init__(self, counts: dict[int, int], group):
+        self.counts, self.group = dict(counts), group
+        self.lengths = sorted(counts)
+        self.groups: dict[int, list[int]] = {}
+        for l in self.lengths:
+            self.groups.setdefault(group(l), []).append(l)
+
+    def largest(self, room: int, used: dict[int, int]) -> int:
+        """The largest length that fits and of which a piece is left; 0 if there is none."""
+        i = bisect_right(self.lengths, room) - 1
+        while i >= 0 and self.counts[self.lengths[i]] <= used.get(self.lengths[i], 0):
+            i -= 1
+        return self.lengths[i] if i >= 0 else 0
+
+    def take(self, bins: int, pattern: dict[int, int]) -> None:
+        for l, k in pattern.items():
+            self.counts[l] -= bins * k
+            if not self.counts[l]:
+                del self.counts[l], self.lengths[bisect_left(self.lengths, l)]
+                self.groups[self.group(l)].remove(l)
+
+
+def chosen(stock: Stock, wanted: list[int], capacity: int) -> dict[int, int]:
+    """A length from each wanted group (largest first) that together fit: {length: copies}; empty if the stock has none.
+
+    The largest go first; the last but one and the last are chosen together, to fill the sequence as far as two can.
+    """
+    used: dict[int, int] = {}
+    room = capacity
+    for g in wanted[:-2]:
+        l = next((l for l in reversed(stock.groups.get(g, ())) if l <= room and stock.counts[l] > used.get(l, 0)), 0)
+        if not l:
+            return {}
+        used[l] = used.get(l, 0) + 1
+        room -= l
+    best = 0, 0
+    if len(wanted) > 1:
+        for l in reversed(stock.groups.get(wanted[-2], ())):
+            if l < room and stock.counts[l] > used.get(l, 0):
+                r = stock.largest(room - l, used | {l: used.get(l, 0) + 1})
+                if r and l + r > sum(best):
+                    best = l, r
+                    if l + r == room:
+                        break
+    else:
+        best = 0, stock.largest(room, used)
+    if not best[1]:
+        return {}
+    for l in best:
+        if l:
+            used[l] = used.get(l, 0) + 1
+            room -= l
+    if stock.counts.get(room, 0) > used.get(room, 0):  # one that fits exactly
+        used[room] = used.get(room, 0) + 1
+    return used
+
+
+def filled(stock: Stock, wanted: list[int], bins: int, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """``bins`` sequences of a pattern, as far as the stock goes: [(sequences, {length: copies})]."""
+    out = []
+    while bins > 0 and (used := chosen(stock, wanted, capacity)):
+        n = min(bins, *(stock.counts[l] // k for l, k in used.items()))
+        stock.take(n, used)
+        out.append((n, used))
+        bins -= n
+    return out
+
+
+def by_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """The sequences that the rounded program makes of ``counts``, and the histogram of what it leaves."""
+    unit = -(-capacity // GRID)
+    group = lambda l: -(-l // unit)
+    grouped: dict[int, int] = {}
+    for l, n in counts.items():
+        grouped[group(l)] = grouped.get(group(l), 0) + n
+    # the last step of the grid may stand out of the capacity: a piece of it has a sequence of its own
+    room = max(capacity // unit, max(grouped, default=0))
+    sizes = np.array(sorted(grouped))
+    taken = solve(sizes, np.array([grouped[g] for g in sizes.tolist()], float), room) if len(sizes) else {}
+    stock, found, total, used = Stock(counts, group), [], 0.0, 0
+    for key, x in sorted(taken.items(), key=lambda kv: (-int(sizes[kv[0][-1][0]]), -kv[1])):
+        total += x
+        bins = int(total + 0.5) - used
+        used += bins
+        found += filled(stock, [int(sizes[i]) for i, k in reversed(key) for _ in range(k)], bins, capacity)
+    return found, stock.counts
+
+
+def configuration_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """[(sequences, {length: pieces in each})] for the histogram ``counts``."""
+    small = {l: n for l, n in counts.items() if l * SMALL <= capacity}
+    found, rest = by_patterns({l: n for l, n in counts.items() if l not in small}, capacity)
+    return best_fit(rest | small, capacity, found)
 
 
 def places(plan) -> dict[int, tuple[np.ndarray, ...]]:
