@@ -68,8 +68,8 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes together what the cache lacks."""
+    def learn(self, words: set[str]) -> set[str]:
+        """Encodes together what the cache lacks; returns what is too long to be kept."""
         parts, whole = {}, []
         for w in words:
             m = PLAIN.fullmatch(w)
@@ -89,15 +89,15 @@ class WordIds:
             some = whole[at : at + 4096]
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
         self.known.update((w, self.known[core] + self.known[tail] if tail else self.known[core]) for w, (core, tail) in parts.items())
+        return {w for some in (cores, whole, parts) for w in some if len(w) > self.LONGEST}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [[w for w in CUT.split(t) if w] if ODD.search(t) else t.split() for t in texts]
         lacking = set().union(*words).difference(self.known)
-        self.learn(lacking)
+        brief = self.learn(lacking)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
-        for w in lacking:
-            if len(w) > self.LONGEST:
-                del self.known[w]
+        for w in brief:
+            del self.known[w]
         if len(self.known) > self.most:
             self.known = dict(islice(self.known.items(), self.kept))
         return out
