@@ -562,9 +562,9 @@ def snippet_fallback(spark, sf_dir):
 
 
 Q_TESTS = {
-    "procurement": q_any("sn", L.words_of("عروض ثلاث 3 سقف حد شيكل دينار دولار شراء مشتريات")),
+    "procurement": q_any("sn", ["عروض", "ثلاث", "3", "سقف", "حد", "شيكل", "دينار", "دولار", "شراء", "مشتريات"]),
     "leave": f"({q_any('sn', ['اجاز'])} AND {q_digit('sn')})",
-    "break": f"({q_any('sn', L.words_of('استراح بريك رضاع رضاعه'))} AND (regexp_matches(sn, '{Q_DURATION}') OR {q_any('sn', ['نصف ساعه', 'ربع ساعه'])}))",
+    "break": f"({q_any('sn', ['استراح', 'بريك', 'رضاع', 'رضاعه'])} AND (regexp_matches(sn, '{Q_DURATION}') OR {q_any('sn', ['نصف ساعه', 'ربع ساعه'])}))",
     "hourly_leave": f"({q_any('sn', ['مغادر', 'اذن'])} AND ({q_digit('sn')} OR {q_any('sn', ['حد', 'شهري'])}))",
 }
 Q_FIRST = " UNION ALL ".join(f"SELECT qid, '{k}' AS intent, arg_min(s, (rk, ord)) AS line FROM {Q_HIT_SENTENCES} WHERE {t} GROUP BY qid" for k, t in Q_TESTS.items())

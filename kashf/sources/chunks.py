@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_retrieval
 
-TEXT = "text text_display content body raw paragraph para line value data clean_text norm".split()
-LISTS = "lines paragraphs paras sentences chunks blocks spans tokens".split()
-PAGE = "page page_no page_num pageNumber page_index Page PageNo".split()
-ID = "id chunk_id cid idx index Id ID".split()
+# The names that a field may have, in the order in which they are tried.
+TEXT = ["text", "text_display", "content", "body", "raw", "paragraph", "para", "line", "value", "data", "clean_text", "norm"]
+LISTS = ["lines", "paragraphs", "paras", "sentences", "chunks", "blocks", "spans", "tokens"]
+PAGE = ["page", "page_no", "page_num", "pageNumber", "page_index", "Page", "PageNo"]
+ID = ["id", "chunk_id", "cid", "idx", "index", "Id", "ID"]
 EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
