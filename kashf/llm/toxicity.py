@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, stored, table, unstore
 
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
@@ -56,15 +56,17 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
     """(toxic, text) of the rows to learn from."""
     y = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
 
 
-def log_odds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Difference of log-odds of each feature in two classes, and in how many deviations."""
-    prior = PRIOR + PRIOR_WORDS * (a + b) / max(1.0, (a + b).sum())
-    x, y, z = a + prior, b + prior, prior.sum()
-    d = np.log(x / (a.sum() + z - x)) - np.log(y / (b.sum() + z - y))
-    return d, d / np.sqrt(1 / x + 1 / y)
+def sure_features(counts: DataFrame, features_seen: int, in_toxic: float, in_clean: float) -> DataFrame:
+    """(slot, d, z) of the features that count: difference of log-odds of each in toxic and clean texts, and in how many deviations."""
+    total = in_toxic + in_clean
+    prior = F.lit(PRIOR) + PRIOR_WORDS / max(1.0, total) * (F.col("toxic") + F.col("clean"))
+    all_prior = PRIOR * features_seen + PRIOR_WORDS * total / max(1.0, total)
+    x, y = F.col("toxic") + prior, F.col("clean") + prior
+    d = F.log(x / (in_toxic + all_prior - x)) - F.log(y / (in_clean + all_prior - y))
+    return counts.select("slot", d.alias("d"), (d / F.sqrt(1 / x + 1 / y)).alias("z")).where(F.abs("z") >= SURE)
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -86,13 +88,13 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
 
 class WordScores(dict):
-    def __init__(self, table_: np.ndarray):
+    def __init__(self, sure: dict[int, tuple[float, float]]):
         super().__init__()
-        self.table = table_
+        self.sure = sure
 
     def __missing__(self, word):
-        f = self.table[features(word)]
-        s = float(f[np.abs(f[:, 1]).argmax(), 0]) - DRIFT
+        found = [self.sure[f] for f in features(word) if f in self.sure]
+        s = max(found, key=lambda x: abs(x[1]))[0] - DRIFT if found else -DRIFT
         if len(word) <= 64:
             self[word] = s
         return s
@@ -104,13 +106,13 @@ class WordScores(dict):
 
 
 class Model:
-    """What scoring needs; SLOTS rows of two numbers and five more numbers, whatever the corpus."""
+    """What scoring needs: the sure features, at most SLOTS, {slot: (log-odds, deviations)}, and five more numbers, whatever the corpus."""
 
-    def __init__(self, table_=None, lam=1.0, log_k=0.0, a=0.0, b=0.0, constant=None):
-        self.table, self.lam, self.log_k, self.a, self.b, self.constant = table_, lam, log_k, a, b, constant
+    def __init__(self, sure=None, lam=1.0, log_k=0.0, a=0.0, b=0.0, constant=None):
+        self.sure, self.lam, self.log_k, self.a, self.b, self.constant = sure, lam, log_k, a, b, constant
 
     def plain(self) -> tuple:
-        return self.table, self.lam, self.log_k, self.a, self.b, self.constant
+        return self.sure, self.lam, self.log_k, self.a, self.b, self.constant
 
     def passages(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
         """The significant segments: (how far each stands out, start, end)."""
@@ -139,25 +141,25 @@ def _root(values: np.ndarray, weights: np.ndarray) -> float:
     return max(hi, 1e-3)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method with a weak ridge; targets are smoothed as Platt's are."""
-    pos, neg = y.sum(), len(y) - y.sum()
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Newton's method with a weak ridge, for n cases of each (x, y); targets are smoothed as Platt's are."""
+    pos, neg = (n * y).sum(), (n * (1 - y)).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     w, m = np.zeros(2), np.stack([np.ones(len(x)), x], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -500, 500)))
-        h = m.T @ (m * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(h, m.T @ (t - p) - 1e-3 * w), -5, 5)
+        h = m.T @ (m * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        w = w + np.clip(np.linalg.solve(h, m.T @ (n * (t - p)) - 1e-3 * w), -5, 5)
     return float(w[0]), float(w[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000) -> Model:
-    taught = labelled(docs, labels, most_labels)
+def feature_counts(taught: DataFrame) -> DataFrame:
+    """(slot, clean, toxic): how often each feature stands in either class; slot -1 has the rows of each."""
 
     def count(state, cols):
         for y, t in zip(cols["toxic"], cols["text"]):
-            state[1 if y else 0].update(words_of(t))
-            state[2][1 if y else 0] += 1
+            state[y].update(words_of(t))
+            state[2][y] += 1
 
     def counted(state):
         sums = np.zeros((SLOTS, 2))
@@ -168,47 +170,56 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000) -> Mod
         return {"slot": [-1, *at.tolist()], "clean": [state[2][0], *sums[at, 0].tolist()], "toxic": [state[2][1], *sums[at, 1].tolist()]}
 
     got = arrow_map(taught, count, "slot int, clean double, toxic double", setup=lambda: (Counter(), Counter(), [0, 0]), finish=counted)
-    got = got.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    n = got[got.slot < 0]
-    n_clean, n_toxic = (float(n[c].sum()) for c in ("clean", "toxic"))
-    if not n_clean or not n_toxic:
-        return Model(constant=n_toxic / max(1.0, n_clean + n_toxic))
-    got = got[got.slot >= 0]
-    d, z = log_odds(got.toxic.to_numpy(), got.clean.to_numpy())
-    table_ = np.zeros((SLOTS, 2), np.float32)
-    table_[got.slot] = np.stack([np.where(np.abs(z) >= SURE, d, np.minimum(d, 0) * 0), z], axis=1)
-
-    shared = docs.sparkSession.sparkContext.broadcast(table_)
-    # the words' scores in clean texts, in steps of a hundredth, give lambda
-    def spread(state, cols):
-        scores, best = state
-        for y, t in zip(cols["toxic"], cols["text"]):
-            if not y:
-                s = scores.of(words_of(t))
-                if len(s):
-                    best.update(np.round(s, 2).tolist())
+    return got.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
 
-    hist = arrow_map(taught, spread, "s double, n long", setup=lambda: (WordScores(shared.value), Counter()), finish=lambda st: {"s": list(st[1]), "n": list(st[1].values())}).groupBy("s").agg(F.sum("n").alias("n")).toPandas()
-    lam = _root(hist.s.to_numpy(), hist.n.to_numpy() / hist.n.sum()) if len(hist) else 1.0
+def segment_sums(taught: DataFrame, shared) -> DataFrame:
+    """(toxic, n, s) of every row, its words and its segments' sums; and (v, c), how often each word's score, in hundredths, stands in clean texts."""
 
-    def tops(scores, cols):
+    def sums(state, cols):
+        scores, hundredths = state
         out = {"toxic": [], "n": [], "s": []}
         for y, t in zip(cols["toxic"], cols["text"]):
             s = scores.of(words_of(t))
+            if not y:
+                hundredths.update(np.round(s * 100).astype(int).tolist())
             out["toxic"].append(y)
             out["n"].append(len(s))
             out["s"].append([x for x, _, _ in segments(s)])
-        return out
+        return out | {"v": [None] * len(out["n"]), "c": [None] * len(out["n"])}
 
-    seen = arrow_map(taught, tops, "toxic int, n long, s array<double>", setup=lambda: WordScores(shared.value)).toPandas()
-    y = (seen.toxic > 0).to_numpy()
-    most = np.array([max(s, default=0.0) for s in seen.s])
-    size = np.log(np.maximum(1, seen.n.to_numpy()))
-    log_k = float((lam * most - size)[~y].mean() - 0.5772)
-    model = Model(table_, lam, log_k)
-    x = np.array([math.log1p(sum(max(0.0, lam * v - log_k - n) for v in s)) for s, n in zip(seen.s, size)])
-    model.a, model.b = _logistic(x, y.astype(float))
-    return model
+    def spread(state):
+        v = list(state[1])
+        none = [None] * len(v)
+        return {"toxic": none, "n": none, "s": none, "v": v, "c": [state[1][x] for x in v]}
+
+    return arrow_map(taught, sums, "toxic int, n long, s array<double>, v int, c long", setup=lambda: (WordScores(shared.value), Counter()), finish=spread)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000) -> Model:
+    """The driver gets sums, the sure features and histograms; what grows with texts stays on executors and in the shared folder."""
+    spark = docs.sparkSession
+    taught = labelled(docs, labels, most_labels)
+    counts = stored(feature_counts(taught), "features")
+    n = counts.agg(*[F.coalesce(F.sum(F.when(F.col("slot") < 0, F.col(c))), F.lit(0.0)).alias(c) for c in ("clean", "toxic")], *[F.coalesce(F.sum(F.when(F.col("slot") >= 0, F.col(c))), F.lit(0.0)).alias(f"of_{c}") for c in ("clean", "toxic")], F.count_if(F.col("slot") >= 0).alias("seen")).first()
+    if not n.clean or not n.toxic:
+        unstore(spark, counts)
+        return Model(constant=n.toxic / max(1.0, n.clean + n.toxic))
+    found = sure_features(counts.where("slot >= 0"), n.seen, n.of_toxic, n.of_clean).toPandas()
+    sure = dict(zip(found.slot.tolist(), zip(found.d.tolist(), found.z.tolist())))
+    shared = spark.sparkContext.broadcast(sure)
+    seen = stored(segment_sums(taught, shared), "segments")
+    hist = seen.where("v is not null").groupBy("v").agg(F.sum("c").alias("c")).toPandas()
+    lam = _root(hist.v.to_numpy() / 100, hist.c.to_numpy() / hist.c.sum()) if len(hist) else 1.0
+    size = F.log(F.greatest(F.lit(1), F.col("n")).cast("double"))
+    rows = seen.where("v is null")
+    log_k = float(rows.where("toxic = 0").agg(F.avg(lam * F.coalesce(F.array_max("s"), F.lit(0.0)) - size)).first()[0] - 0.5772)
+    out = F.aggregate("s", F.lit(0.0), lambda total, v: total + F.greatest(F.lit(0.0), lam * v - log_k - size))
+    x = rows.groupBy(F.col("toxic").alias("y"), F.round(F.log1p(out), 4).alias("x")).agg(F.count("*").alias("n")).toPandas()
+    a, b = _logistic(x.x.to_numpy(), x.y.to_numpy().astype(float), x.n.to_numpy().astype(float))
+    shared.unpersist()
+    unstore(spark, counts, seen)
+    return Model(sure, lam, log_k, a, b)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
@@ -218,7 +229,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
 
     def setup():
         m = Model(*shared.value)
-        return m, WordScores(m.table)
+        return m, WordScores(m.sure)
 
     def fn(state, cols):
         (m, words), out, n = state, [], []
