@@ -39,7 +39,7 @@ def deal(docs: DataFrame, block_docs: int, ordered: bool, key: str = "doc_id", t
 
     Blocks are ranges of the key if ``ordered``, the ranges' limits being quantiles of
     the key, within which rows with a null key come first; otherwise they are
-    dealt by hash. Null texts become empty.
+    dealt by a hash of key and text. Null texts become empty.
     """
     parts = partitions(docs)
     n = docs.count()
@@ -60,7 +60,7 @@ def deal(docs: DataFrame, block_docs: int, ordered: bool, key: str = "doc_id", t
             state[1] += len(t or "") + 16
         return emptied(state) if state[1] > flush else None
 
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_h"))
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("_h"))
     return arrow_map(rows, add, "_b int, data binary", setup=lambda: [{}, 0], finish=emptied).repartition(parts, "_b"), blocks
 
 

@@ -5,13 +5,13 @@ Neither the pre-tokenizer's patterns nor the added tokens reach over the
 end of such a run, so words encode alone as they do inside the text; their
 bytes, too, decode alone.
 
-Documents are dealt over blocks by a hash of their key, compressed before they are
-shuffled. Each block sends its distinct words, sorted, in one packet for each
+Documents are dealt over blocks by a hash, compressed before they are
+shuffled. Each block sends its distinct words, in the order in which its documents (sorted) first hold them, in one packet for each
 bucket of a hash of the word. A bucket encodes each of its distinct words
 once and answers every packet with ids in the packet's order, so they join
-their words by position and no word travels back. A block, which knows its words, joins the
-ids with the id-to-piece table (as many rows as the vocabulary, so its
-broadcast is bounded) and puts its texts together. A block holds about ``block_docs``
+their words by position and no word travels back. A block, which knows its words, decodes each through the
+id-to-piece table (as many rows as the vocabulary, so its broadcast is bounded) and puts its texts together. Words that
+all decode to themselves make a text that decodes to itself. A block holds about ``block_docs``
 documents and a bucket a share of the words of all blocks, both of which shrink with more
 partitions; a frequent word comes once from a block.
 
@@ -21,8 +21,10 @@ Nulls are empty texts. Repeated rows are encoded each. A null key stays.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-import zlib
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,40 @@ from .common import table, tokenizer_path, worker_state
 MODEL = "byte_bpe_50k.json"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+OTHER = WHITE.replace(" ", "", 1)  # white space but for the space itself
+MIXED = re.compile(f"^[{WHITE}]|[{WHITE}][{WHITE}]|[{WHITE}]$")
+BREAK = re.compile(f"[{OTHER}]")
+PARTS = re.compile(f" |(?=[{OTHER}])")
 
 
 def split_words(text: str) -> list[str]:
     return WORD.findall(text)
 
 
+def key_of(word: str) -> str:
+    """A word by another name: a single space before it, which most words have, is left out, and comes to those that have no white space."""
+    if WORD.fullmatch(word[1:]) and word[0] == " " and not MIXED.match(word[1:]):
+        return word[1:]
+    return word if MIXED.match(word) else " " + word
+
+
+def word_of(key: str) -> str:
+    if not MIXED.match(key):
+        return " " + key
+    return key[1:] if key[0] == " " and len(key) > 1 and not MIXED.match(key[1:]) else key
+
+
+def split_keys(text: str) -> list[str]:
+    """The keys of the text's words; the space between two words is what parts them where nothing else does."""
+    if not text:
+        return []
+    if MIXED.search(text):
+        return [key_of(w) for w in split_words(text)]
+    keys = PARTS.split(text) if BREAK.search(text) else text.split(" ")
+    keys[0] = " " + keys[0]
+    return keys
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,6 +91,7 @@ def _tokenizer(model: str):
 
     state = worker_state()
     if ("tokenizer", model) not in state:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         t = Tokenizer.from_file(model)
         t.no_truncation()
         t.no_padding()
@@ -68,16 +99,11 @@ def _tokenizer(model: str):
     return state[("tokenizer", model)]
 
 
-def words_by_bucket(texts, buckets: int) -> dict[int, list[str]]:
-    """The distinct words of the texts, sorted, by bucket: the same wherever it is worked out."""
-    words: set[str] = set()
-    for t in texts:
-        words.update(split_words(t))
+def keys_by_bucket(split: list[list[str]], buckets: int) -> dict[int, list[str]]:
+    """The distinct keys of texts, as they come, by bucket: the same wherever it is worked out."""
     found: dict[int, list[str]] = {}
-    for w in words:
-        found.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-    for ws in found.values():
-        ws.sort()
+    for w in dict.fromkeys(chain.from_iterable(split)):
+        found.setdefault(crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
     return found
 
 
@@ -89,14 +115,14 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: st
     key_type = to_arrow_type(docs.schema[key].dataType)
 
     def ask(group):
-        return words_by_bucket((t for _, t in rows_of(group)), blocks)
+        return keys_by_bucket([split_keys(t) for _, t in rows_of(group, True)], blocks)
 
     def encode(packets):
-        distinct = list({w for ws in packets for w in ws})
+        distinct = list(set().union(*packets))
         ids: dict = {}
         for p in range(0, len(distinct), 4096):
             part = distinct[p : p + 4096]
-            ids.update(zip(part, (np.array(e.ids, np.uint32) for e in _tokenizer(model).encode_batch(part, add_special_tokens=False))))
+            ids.update(zip(part, (np.array(e.ids, np.uint32) for e in _tokenizer(model).encode_batch_fast([word_of(w) for w in part], add_special_tokens=False))))
         answers = []
         for ws in packets:
             got = [ids[w] for w in ws]
@@ -104,21 +130,28 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: st
         return answers
 
     def put(left, right):
-        rows = rows_of(left)
-        words = words_by_bucket((t for _, t in rows), blocks)
-        piece, size, ids, back = pieces.value, {}, {}, {}
+        rows = rows_of(left, True)
+        split = [split_keys(t) for _, t in rows]
+        piece, name, ids, odd = pieces.value, {}, {}, {}
+        words = keys_by_bucket(split, blocks)
         for bucket, (n, flat) in answers_of(right).items():
             flat, at = flat.tolist(), 0
+            name.update((i, str(i)) for i in set(flat).difference(name))
             for w, k in zip(words[bucket], n.tolist()):
                 own = flat[at : at + k]
                 at += k
-                size[w], ids[w], back[w] = k, ",".join(map(str, own)), b"".join(map(piece.__getitem__, own))
+                ids[w] = ",".join([name[i] for i in own])
+                back = b"".join([piece[i] for i in own])
+                if back != word_of(w).encode("utf-8", "surrogatepass"):
+                    odd[w] = back
         count, enc, dec = [], [], []
-        for _, t in rows:
-            ws = split_words(t)
-            count.append(sum(map(size.__getitem__, ws)))
-            enc.append(hashlib.sha256(",".join(map(ids.__getitem__, ws)).encode()).hexdigest())
-            dec.append(hashlib.sha256(b"".join(map(back.__getitem__, ws)).decode("utf-8", "replace").encode()).hexdigest())
+        for (_, t), ws in zip(rows, split):
+            joined = ",".join(map(ids.__getitem__, ws))
+            count.append(joined.count(",") + 1 if joined else 0)
+            enc.append(hashlib.sha256(joined.encode()).hexdigest())
+            if odd and not odd.keys().isdisjoint(ws):
+                t = b"".join(odd[w] if w in odd else word_of(w).encode("utf-8", "surrogatepass") for w in ws).decode("utf-8", "replace")
+            dec.append(hashlib.sha256(t.encode()).hexdigest())
         return pa.table({key: pa.array([k for k, _ in rows], key_type), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(enc, pa.string()), "decoded_sha256": pa.array(dec, pa.string())})
 
     replies = answered(asked(dealt, [], ask, partitions(docs)), encode)

@@ -38,3 +38,15 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert B.encode_and_decode(documents(spark, []), tokenizer_path(B.MODEL)).count() == 0
+
+
+def test_keys_stand_for_words():
+    import random
+
+    r = random.Random(7)
+    texts = [*ODD, "", " ", "a", " a", "a ", "a b", "a  b", "a\nb c\n\nd", "\na b", "a\n b", "a b\xa0c 　d", "x\n", "\n", " \n ", "one two\nthree four"]
+    texts += ["".join(r.choice("ab c  \n\t\x85é.") for _ in range(r.randrange(12))) for _ in range(4000)]
+    for t in texts:
+        keys = B.split_keys(t)
+        assert [B.word_of(k) for k in keys] == B.split_words(t), (t, keys)
+        assert [B.key_of(w) for w in B.split_words(t)] == keys, (t, keys)
