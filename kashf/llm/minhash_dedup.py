@@ -4,8 +4,12 @@ A document's set holds its distinct shingles, as 64-bit hashes. Equal sets are o
 doc_id stands for. Each class has ``bands * rows`` MinHash samples. Classes
 that share a band's ``rows`` samples meet in a bucket; two sets of similarity s miss
 each other with probability (1 - s**rows) ** bands: 3e-7 at 0.85 by 32 bands of 6. Odd
-sketches, the parities of the samples' hashes in ``SKETCH`` bits, tell by the
-population count of their XOR which of these pairs can be as similar; a link is confirmed on the full sets.
+sketches, the parities of the samples' hashes in a number of bits, tell by the
+population count of their XOR which of these pairs can be as similar; a link is confirmed on the full sets. There are two:
+one of the bands' samples, and a finer one of the set's bottom sample, which is the shingles whose hash begins with as many zeros as leave
+about ``SAMPLE`` of them, so all of a set of up to ``SAMPLE``. The XOR of two parities never has more bits than
+the samples have differences, and two sets of x and y shingles that are as similar differ in at most (x + y) * (1 - s) / (1 + s): for
+whole sets the finer sketch rules out no link at all.
 
 No bucket's pairs are all emitted. First every member is held against one of its
 bucket, the one that shares most with others (the original, among edited copies). Links give
@@ -31,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, stored, table, text_bytes, unstore
 
-SKETCH = 1024
+SKETCH, FINE, SAMPLE = 1024, 2048, 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,8 +85,22 @@ class Sampler:
         return mix((mix(m.reshape(self.bands, self.rows)) * self.fold).sum(axis=1) + self.band)
 
     def sketch(self, m: np.ndarray) -> np.ndarray:
-        at = (mix(m ^ self.salt) % np.uint64(SKETCH)).astype(np.int64)
-        return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+        return parities(mix(m ^ self.salt), SKETCH)
+
+    def fine(self, s: np.ndarray) -> np.ndarray:
+        """The odd sketch of the set's bottom sample."""
+        h, level = mix(s ^ self.salt[0]), level_of(len(s))
+        return parities(mix(h + self.salt[0]) if not level else mix(h[h >> np.uint64(64 - level) == 0] + self.salt[0]), FINE)
+
+
+def level_of(n: int) -> int:
+    """How many zeros the hashes of a bottom sample of n shingles begin with."""
+    return max(0, (n - 1) // SAMPLE).bit_length()
+
+
+def parities(h: np.ndarray, bits: int) -> np.ndarray:
+    at = (h % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def most_bits(k: int, similar: float, sigmas: float = 5.5) -> int:
@@ -93,10 +111,10 @@ def most_bits(k: int, similar: float, sigmas: float = 5.5) -> int:
 
 
 def signatures(docs: DataFrame, n: int, sampler: Sampler) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (which tell sets apart), keys and sketch of every row."""
+    """doc_id, n_shingles, s1 and s2 (which tell sets apart), keys, sketch and fine sketch of every row."""
 
     def fn(words, cols):
-        out = {c: [] for c in ("n_shingles", "s1", "s2", "keys", "sketch")}
+        out = {c: [] for c in ("n_shingles", "s1", "s2", "keys", "sketch", "fine")}
         for t in cols["text"]:
             s = shingle_set(t, n, words)
             m = sampler.samples(s)
@@ -106,10 +124,11 @@ def signatures(docs: DataFrame, n: int, sampler: Sampler) -> DataFrame:
             out["s2"].append((d >> 64) - (1 << 63))
             out["keys"].append(sampler.keys(m).view(np.int64) if len(s) else [])
             out["sketch"].append(sampler.sketch(m) if len(s) else [])
+            out["fine"].append(sampler.fine(s) if len(s) else [])
         return {"doc_id": cols["doc_id"]} | out
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_map(docs.select("doc_id", "text"), fn, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, sketch array<long>", setup=Words)
+    return arrow_map(docs.select("doc_id", "text"), fn, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, sketch array<long>, fine array<long>", setup=Words)
 
 
 def compressed_texts(docs: DataFrame) -> DataFrame:
@@ -118,8 +137,19 @@ def compressed_texts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), pack, f"rep {dict(docs.dtypes)['doc_id']}, text binary", setup=lambda: zstandard.ZstdCompressor(level=3))
 
 
-def differing(a: str, b: str):
-    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH // 64)))
+def differing(a: str, b: str, bits: int):
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)))
+
+
+def can_link(percent: int, bits: int):
+    """Whether the sets of a and b, by their sizes (na, nb) and sketches (ka, kb and fa, fb), can be as similar."""
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    level = lambda n: F.length(F.bin(F.floor((F.col(n) - 1) / SAMPLE))) * (F.col(n) > SAMPLE).cast("int")
+    differ = (F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)
+    sampled = differ / F.pow(F.lit(2.0), level("na"))
+    most = F.when(F.col("na") > SAMPLE, sampled + 5.5 * F.sqrt(sampled)).otherwise(differ)
+    fine = (level("na") != level("nb")) | (differing("fa", "fb", FINE) <= most)
+    return (100 * small >= percent * large) & fine & (differing("ka", "kb", SKETCH) <= bits)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, block_pairs: int = 512) -> DataFrame:
@@ -176,20 +206,23 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     sig = stored(signatures(docs, n, sampler), "signatures")
     linked = sig.where("n_shingles > 0 and doc_id is not null")
     # texts that differ under one doc_id are classes of one name, and so linked
-    classes = linked.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "keys", "sketch"), "doc_id").alias("m"))
-    classes = stored(classes.select("s1", "s2", F.col("m.doc_id").alias("rep"), "m.keys", "m.sketch"), "classes")
+    classes = linked.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "n_shingles", "keys", "sketch", "fine"), "doc_id").alias("m"))
+    classes = stored(classes.select("s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.keys", "m.sketch", "m.fine"), "classes")
     banded = classes.select("rep", F.explode("keys").alias("key"))
     shared = stored(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     seen = stored(banded.join(shared, "key"), "seen")
     score = stored(seen.groupBy("rep").agg(F.sum("c").alias("score")), "score")
     member = stored(seen.select("rep", "key").join(score, "rep"), "members")
     centre = stored(member.groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("rep").alias("least"))).alias("m")).select("key", F.bitwise_not("m.least").alias("c")), "centres")
-    sketches = stored(classes.select("rep", "sketch").join(score, "rep", "left_semi"), "sketches")
+    sketches = stored(classes.select("rep", "n", "sketch", "fine").join(score, "rep", "left_semi"), "sketches")
 
     def alike(pairs):
         """(a, b) of the (a, b) whose sketches don't rule them out."""
-        x = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("ka")), "a")
-        return x.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("kb")), "b").where(differing("ka", "kb") <= bits).select("a", "b")
+        x = pairs.join(side("a"), "a").join(side("b"), "b")
+        return x.where(can_link(percent, bits)).select("a", "b")
+
+    def side(x):
+        return sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("fine").alias(f"f{x}"))
 
     texts = stored(compressed_texts(docs).join(score.select("rep"), "rep", "left_semi"), "texts")
     pairs = member.join(centre, "key").where("rep != c").groupBy(F.least("rep", "c").alias("lo"), F.greatest("rep", "c").alias("hi")).agg(F.max("c").alias("b"))
@@ -222,9 +255,9 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
         done += [named, mixed]
     # what is left, against all of other components
     rest = stored(named.join(mixed.select("key", "main"), "key").join(sketches, "rep"), "rest")
-    x = rest.where("label != main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("kb"))
-    more = x.join(y, "key").where((F.col("la") != F.col("lb")) & (differing("ka", "kb") <= bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    member_of = lambda x: [F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("fine").alias(f"f{x}")]
+    x, y = rest.where("label != main").select("key", *member_of("a")), rest.select("key", *member_of("b"))
+    more = x.join(y, "key").where((F.col("la") != F.col("lb")) & can_link(percent, bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = unknown(more, known)
     late = confirmed(more, texts, n, percent)
     if not late.isEmpty():

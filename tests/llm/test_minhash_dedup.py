@@ -76,3 +76,38 @@ def test_odd_sketches_keep_similar_pairs():
         assert (sketch[0] != sketch[1]).sum() <= bits
         far += (sketch[0] != sketch[2]).sum() > bits
     assert far >= 58
+
+
+def test_fine_sketches_lose_no_link_and_rule_out_the_rest(spark):
+    """Pairs of known similarity: sets of up to SAMPLE shingles that are as similar always pass; a little below, next to none."""
+    sampler, r, bits = M.Sampler(32, 6), np.random.default_rng(9), M.most_bits(192, 0.85)
+    rows_, truth = [], []
+    for k in range(1500):
+        n = int(r.integers(5, 1000 if k % 5 else 6000))
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        swap = int(n * r.uniform(0, 0.16))
+        a, b = np.unique(base), np.unique(np.concatenate([base[swap:], r.integers(0, 2**63, swap).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        truth.append((100 * both >= 85 * (len(a) + len(b) - both), both / (len(a) + len(b) - both), max(len(a), len(b))))
+        ma, mb = sampler.samples(a), sampler.samples(b)
+        rows_.append((k, len(a), len(b), *(x.tolist() for x in (sampler.sketch(ma), sampler.sketch(mb), sampler.fine(a), sampler.fine(b)))))
+    df = spark.createDataFrame(rows_, "k int, na long, nb long, ka array<long>, kb array<long>, fa array<long>, fb array<long>")
+    passed = {x.k for x in df.where(M.can_link(85, bits)).collect()}
+    assert all(k in passed for k, (linked, _, _) in enumerate(truth) if linked)
+    below = [k for k, (_, s, n) in enumerate(truth) if s < 0.82 and 200 < n <= M.SAMPLE]
+    assert len(below) > 50 and sum(k in passed for k in below) < len(below) / 5
+
+
+def test_links_of_a_whole_table_are_all_found(spark):
+    """Recall of links, not of components alone: every pair of sf0.001 as an exact join finds it is in one component."""
+    import os
+
+    import pytest
+
+    d = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(d):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(d)
+    data = [tuple(x) for x in docs.select("doc_id", "text").collect()]
+    assert got(M.near_components(docs), *COLUMNS) == brute(data)
+    assert got(M.near_components(docs, n=5, percent=80, bands=38, rows=5), *COLUMNS) == brute(data, 5, 80)
