@@ -34,6 +34,29 @@ def partitions(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partition_of(label: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of ``parts`` to which Spark's hash (Murmur3 of an int, seed 42) sends a label."""
+    rotated = lambda x, k: x << np.uint32(k) | x >> np.uint32(32 - k)
+    k = rotated(label.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = rotated(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % parts
+
+
+def even_labels(blocks: int, parts: int) -> np.ndarray:
+    """A label for each block, in their order, that deals few blocks evenly over the partitions; many are even as they are."""
+    if blocks > 16 * parts:
+        return np.arange(blocks, dtype=np.int32)
+    found, at = [], 0
+    for i in range(blocks):
+        while not len(hit := np.nonzero(partition_of(np.arange(at, at + 8 * parts), parts) == i % parts)[0]):
+            at += 8 * parts
+        at += int(hit[0]) + 1
+        found.append(at - 1)
+    return np.array(found, np.int32)
+
+
 def deal(docs: DataFrame, block_docs: int, ordered: bool, key: str = "doc_id", text: str = "text", flush: int = 24_000_000) -> tuple[DataFrame, int]:
     """(_b, data), partitioned by block, and the number of blocks; data are packets of (key, text).
 
@@ -48,13 +71,16 @@ def deal(docs: DataFrame, block_docs: int, ordered: bool, key: str = "doc_id", t
     if ordered and blocks > 1:
         cuts = np.unique(docs.approxQuantile(key, [i / blocks for i in range(1, blocks)], 0.25 / blocks) or [])
 
+    labels = even_labels(blocks, parts)
+
     def emptied(state):
         rows = [(b, packed(x)) for b, x in state[0].items()]
         state[0], state[1] = {}, 0
         return {"_b": [b for b, _ in rows], "data": [x for _, x in rows]}
 
     def add(state, cols):
-        where = np.searchsorted(cuts, [-np.inf if k is None else k for k in cols["_k"]], side="right").tolist() if ordered else cols["_h"]
+        nth = np.searchsorted(cuts, [-np.inf if k is None else k for k in cols["_k"]], side="right") if ordered else np.array(cols["_h"], np.int64)
+        where = labels[nth].tolist()
         for b, k, t in zip(where, cols["_k"], cols["_t"]):
             state[0].setdefault(b, []).append((k, t or ""))
             state[1] += len(t or "") + 16

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from kashf.llm import toxicity
@@ -82,3 +83,20 @@ def test_rows_without_id_and_empty_tables(spark):
 
 def test_tokenizer_is_there():
     assert os.path.exists(tokenizer_path(MODEL))
+
+
+def test_clashing_columns_and_tables_without_n_chars(spark):
+    names = ["_cut_id", "_cut_text", "_no_text", "_n", "_row", "score", "predicted", "held_out", "kept", "_c0", "doc", "n_passages"]
+    docs = documents(spark).select("*", *[F.lit("clash").alias(c) for c in names]).drop("n_chars")
+    for _, stage in C.STAGES[:3]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got_ = out.collect()
+        assert got_ and all(r[c] == "clash" for r in got_ for c in names)
+    assert C.packing_stage(spark, docs, SF).count() >= docs.count()
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    empty = documents(spark, [])
+    for _, stage in C.STAGES:
+        assert stage(spark, empty, SF).count() == 0
