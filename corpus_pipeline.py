@@ -6,7 +6,7 @@
    loses a part goes whole, so that texts stay valid. Documents stay, even if nothing is left of their text.
 4. packing: what is kept, as pieces of sequences of at most 2048 tokens.
 
-Every stage but the last returns the columns of documents. n_chars follows the text. Nulls and repeated rows are
+Every stage but the last returns the columns of documents, whatever their names. n_chars, where there is one, follows the text. Nulls and repeated rows are
 handled as the operators' modules say; a document repeated whole stays once after stage 2. Different texts that share
 a doc_id count as one document in stage 2: the least text stays. Rows without a doc_id pass stages 2 and 3 as they are.
 """
@@ -17,32 +17,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kashf.llm import minhash_dedup, packing, suffix_dedup, toxicity
-from kashf.llm.common import stored, table, tokenizer_path
+from kashf.llm.common import stored, table, tokenizer_path, unstore
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """The same rows, columns but doc_id, text and n_chars under numbers, so that none clashes with what an operator adds."""
+    return docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"_c{i}" for i, c in enumerate(docs.columns)])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    # numbered names, so that no column of docs clashes with one of the score
-    names = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
-    scored = toxicity.score(docs.toDF(*names), model, [c for c in names if c != "doc_id"])
-    return scored.where("predicted = 0").select(*names).toDF(*docs.columns)
+    rows = plain_names(docs)
+    scored = toxicity.score(rows, model, [c for c in rows.columns if c != "doc_id"])
+    return scored.where("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_components(docs, n=5, percent=80, bands=38, rows=5)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    # rows that share a doc_id are of one group: the one with the least text stays
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row"))
-    return named.select("_row.*").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
+    rows = plain_names(docs)
+    out = rows.join(kept.where("_n = 1"), "doc_id", "left_semi").select(*rows.columns)
+    again = kept.where("_n > 1")
+    if not again.isEmpty():
+        # rows that share a doc_id are of one group: the one with the least text stays
+        shared = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+        out = out.unionByName(shared.select("_row.*"))
+    return out.unionByName(rows.where("doc_id is null")).select(*rows.columns).toDF(*docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.suffix_dedup(docs, with_text=True).where("doc_id is not null").select(F.col("doc_id").alias("_cut_id"), F.col("kept_text").alias("_cut_text"))
     # a doc_id is unique after stage 2; only what is left of a text meets its row again. Rows without a doc_id keep their texts
-    rows = docs.where("doc_id is not null").withColumn("_no_text", F.col("text").isNull()).drop("text", "n_chars")
-    joined = rows.join(cut, F.col("doc_id") == F.col("_cut_id")).withColumn("text", F.when(~F.col("_no_text"), F.col("_cut_text")))
-    joined = joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-    return joined.unionByName(docs.where("doc_id is null").select(*docs.columns))
+    rows = plain_names(docs)
+    own = rows.where("doc_id is not null").withColumn("_no_text", F.col("text").isNull()).drop("text")
+    joined = own.join(cut, F.col("doc_id") == F.col("_cut_id")).withColumn("text", F.when(~F.col("_no_text"), F.col("_cut_text")))
+    if "n_chars" in rows.columns:
+        joined = joined.withColumn("n_chars", F.char_length("text").cast(rows.schema["n_chars"].dataType))
+    return joined.select(*rows.columns).unionByName(rows.where("doc_id is null")).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        unstore(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
