@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .sparse import top
@@ -20,8 +21,9 @@ def combine(dense: DataFrame, chars: DataFrame | None, words: DataFrame | None,
 
 
 def rerank(hits: DataFrame, scorer=None, k: int = 8) -> DataFrame:
-    """The k best by ``scorer(hits)``, a Column, of the questions with several hits; their rank without a scorer."""
+    """The k best by ``scorer``, a Column; a question's only hit keeps its score, and without a scorer hits keep their rank."""
     if scorer is None:
         return hits.where(F.col("rk") <= k)
-    scored = hits.withColumn("score", scorer).drop("rk")
+    alone = F.count("*").over(W.partitionBy("qid")) == 1
+    scored = hits.withColumn("score", F.when(alone, F.col("score")).otherwise(scorer)).drop("rk")
     return top(scored, k)

@@ -22,9 +22,22 @@ def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
+#: Terms with their idf are broadcast up to this number; beyond it hot terms are dealt over SALTS places.
+BROADCAST_TERMS, SALTS = 1_000_000, 16
+
+
+def with_idf(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(..., term, tf, idf): a term that every document holds gathers in no one task."""
+    known = weights.select("term", "idf")
+    if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return counts.join(F.broadcast(known), "term")
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return counts.withColumn("_salt", F.pmod(F.xxhash64(*counts.columns), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).drop("_salt")
+
+
 def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, term, w). Terms without idf are dropped before the norm is taken, which needs one document's terms together, no more."""
-    raw = counts.join(weights.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
+    raw = with_idf(counts, weights).select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
     return raw.select(key, "term", (F.col("x") / norm).alias("w"))
 

@@ -12,6 +12,7 @@ from ..functions.fine_intents import FINE_INTENTS, fine_intents
 from ..operators import compose, dense, evaluate, gate, priors, retrieve, sparse
 from ..sources import chunks as C
 from ..sources import index as I
+from ..sources import sinks as K
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -394,7 +395,7 @@ def _rank(d, k):
 @query(f"WITH {Q_DENSE} {q_top('(SELECT * FROM sc WHERE label = section)', 8, 'score')}")
 def dense_gated_topk(spark, sf_dir):
     asked, index = _dense(spark, sf_dir)
-    return gate.gated(dense.dense_scores(asked.select("qid", "qv"), index), _sections(asked, index), _rank, 8).select("qid", "pos", "score", "rk")
+    return _rank(dense.pair_scores(asked, index, _sections(asked, index)), 8).select("qid", "pos", "score", "rk")
 
 
 @query(f"WITH {Q_DENSE}, r AS ({q_top('sc', 60, 'score')}) SELECT r.* FROM r JOIN sc USING (qid, pos) WHERE label = section")
@@ -411,11 +412,10 @@ UNION ALL SELECT qid, pos, round(score * 0.85, 6), rk, 'fallback' FROM a WHERE q
 UNION ALL SELECT qid, pos, round(score, 6), rk, 'open' FROM a WHERE qid NOT IN (SELECT qid FROM asked)""")
 def gate_fallback(spark, sf_dir):
     asked, index = _dense(spark, sf_dir)
-    scores = dense.dense_scores(asked.select("qid", "qv"), index)
-    allowed = _sections(asked, index).join(scores.where("score > 0.2"), ["qid", "pos"], "left_semi")
+    allowed = dense.pair_scores(asked, index, _sections(asked, index)).where("score > 0.2").select("qid", "pos")
     some = asked.where("section < 8").select("qid")
-    inside = gate.gated(scores, allowed.join(some, "qid", "left_semi"), _rank, 8)
-    return gate.with_fallback(inside, _rank(scores, 8), some).select("qid", "pos", F.round("score", 6).alias("score"), "rk", "gate")
+    inside = _rank(dense.pair_scores(asked, index, allowed.join(some, "qid", "left_semi")), 8)
+    return gate.with_fallback(inside, dense.dense_top(asked.select("qid", "qv"), index, 8), some).select("qid", "pos", F.round("score", 6).alias("score"), "rk", "gate")
 
 
 def _hybrid(spark, sf_dir, k):
@@ -696,15 +696,88 @@ def tolerant_load(spark, sf_dir):
     return C.chunks(C.numbered(C.records(lines))).select("pos", "chunk_id", "page", "text")
 
 
-@query("SELECT true AS same_model, true AS other_refused, count(*) AS chunks FROM " + Q_CHUNKS)
-def index_roundtrip(spark, sf_dir):
-    import tempfile
+def q_stored(terms: str, relation: str) -> str:
+    """pos, term and weight of a stored vector, from the words of SQL over the chunks."""
+    return f"""(WITH tf AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest({terms}) AS term FROM {relation}) GROUP BY ALL), n AS (SELECT count(*) AS n FROM {relation}),
+idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n), x AS (SELECT pos, term, tf * idf AS x FROM tf JOIN idf USING (term))
+SELECT pos, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY pos)), 6) AS w FROM x)"""
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+@query(f"""
+WITH c AS (SELECT pos, page, text, {q_norm('text')} AS norm FROM {Q_CHUNKS})
+SELECT 'chunk' AS part, pos, norm AS term, page::DOUBLE AS w FROM c UNION ALL SELECT 'word', * FROM {q_stored(Q_WORD_TERMS, 'c')} UNION ALL SELECT 'char', * FROM {q_stored(Q_CHAR_TERMS, 'c')}""")
+def index_roundtrip(spark, sf_dir):
+    """The rows of a stored index, read again; one of another corpus or model is refused."""
     import uuid
 
-    path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    from .lineage import shared_folder
+
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     I.save(I.build(_chunks(spark).withColumn("norm", T.norm_retrieval("text")), fingerprint="f"), path)
     again = I.load(spark, path, "f", "hashed-trigrams-256", len(X.CHUNKS))
-    other = I.load(spark, path, "g", "hashed-trigrams-256")
-    return again.chunks.agg(F.lit(again is not None).alias("same_model"), F.lit(other is None).alias("other_refused"), F.count("*").alias("chunks"))
+    for other in (("g", "hashed-trigrams-256", len(X.CHUNKS)), ("f", "another", len(X.CHUNKS)), ("f", "hashed-trigrams-256", len(X.CHUNKS) + 1)):
+        if I.load(spark, path, *other) is not None:
+            raise ValueError("an index of another corpus or model was taken")
+    vectors = [t.select(F.lit(name).alias("part"), "pos", "term", F.round("w", 6).alias("w")) for name, t in (("word", again.words), ("char", again.chars))]
+    rows_ = again.chunks.select(F.lit("chunk").alias("part"), "pos", F.col("norm").alias("term"), F.col("page").cast("double").alias("w"))
+    return rows_.unionByName(vectors[0]).unionByName(vectors[1])
+
+
+FLAGS = [(1, None), (2, "1"), (3, " TRUE "), (4, "Yes"), (5, "on\t"), (6, "0"), (7, ""), (8, "off"), (9, "y"), (10, "true x")]
+
+
+@query(f"SELECT id, coalesce({q_strip('lower(t)')} IN ('1', 'true', 'yes', 'on'), true) AS yes, coalesce({q_strip('lower(t)')} IN ('1', 'true', 'yes', 'on'), false) AS no FROM {X.values(FLAGS, 'id, t')}")
+def flag_values(spark, sf_dir):
+    from ..functions.settings import flag_of
+
+    return rows(spark, FLAGS, "id int, t string").select("id", flag_of(F.col("t"), True).alias("yes"), flag_of(F.col("t"), False).alias("no"))
+
+
+@query("SELECT doc_id || '.json' AS name, to_base64(encode(text)) AS content, 'extract ' || doc_id || '.json' AS message FROM documents WHERE text IS NOT NULL")
+def payload_base64(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    return K.payload(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), F.col("text").alias("body")))
+
+
+@query("""
+WITH old AS (SELECT doc_id AS name, text AS body, sha256(text) AS version FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0),
+new AS (SELECT doc_id AS name, text || '!' AS body, CASE WHEN doc_id % 4 = 0 THEN sha256(text) WHEN doc_id % 5 = 0 THEN 'stale' END AS replaces FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0),
+ok AS (SELECT new.* FROM new LEFT JOIN old USING (name) WHERE version IS NOT DISTINCT FROM replaces)
+SELECT name::VARCHAR AS name, sha256(body) AS version, false AS refused FROM ok UNION ALL SELECT name::VARCHAR, version, false FROM old WHERE name NOT IN (SELECT name FROM ok)
+UNION ALL SELECT name::VARCHAR, NULL, true FROM new WHERE name NOT IN (SELECT name FROM ok)""")
+def upsert_versions(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").withColumn("name", F.col("doc_id").cast("string"))
+    mark = F.sha2(F.encode("text", "utf-8"), 256)
+    old = d.where("doc_id % 2 = 0").select("name", F.col("text").alias("body"), mark.alias("version"))
+    new = d.where("doc_id % 3 = 0").select("name", F.concat("text", F.lit("!")).alias("body"), F.when(F.col("doc_id") % 4 == 0, mark).when(F.col("doc_id") % 5 == 0, "stale").alias("replaces"))
+    kept, refused = K.upsert_versioned(old, new)
+    return kept.select("name", "version", F.lit(False).alias("refused")).unionByName(refused.select("name", F.lit(None).cast("string").alias("version"), F.lit(True).alias("refused")))
+
+
+def _file_of(spark, sf_dir, whole: bool):
+    """The texts of benchmark as a file of JSON lines, or of one JSON array, in the shared folder."""
+    import uuid
+
+    from .lineage import shared_folder
+
+    b = read(spark, sf_dir, "benchmark").where("text is not null")
+    line = F.to_json(F.struct(F.col("item_id").alias("chunk_id"), (F.col("item_id") % 50).cast("string").alias("Page"), F.array(F.col("text"), F.lit(" ")).alias("lines")))
+    lines = b.select("item_id", F.concat(line, F.lit(",")).alias("value"))
+    if whole:  # 40 to 200 rows
+        lines = lines.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "value"))), lambda x: F.rtrim(x["value"], F.lit(","))), ","), F.lit("]")).alias("value"))
+    path = f"{shared_folder(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    (lines if whole else lines.coalesce(1).sortWithinPartitions("item_id")).select("value").write.text(path)
+    return C.load_chunks(spark, path)[0].select("pos", "chunk_id", "page", "text", "norm")
+
+
+Q_FILE = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id AS chunk_id, (item_id % 50)::INT AS page, {q_strip('text')} AS text, {q_norm(q_strip('text'))} AS norm FROM benchmark WHERE {q_strip('text')} <> ''"
+
+
+@query(Q_FILE)
+def chunk_file_lines(spark, sf_dir):
+    return _file_of(spark, sf_dir, False)
+
+
+@query(Q_FILE)
+def chunk_file_array(spark, sf_dir):
+    return _file_of(spark, sf_dir, True)

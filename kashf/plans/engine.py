@@ -9,6 +9,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import compose, dense, evaluate, gate, retrieve, sparse
 from ..sources.index import Index, hashed_encoder
+from .lineage import cut
 
 
 def question_terms(questions: DataFrame, terms, weights: DataFrame) -> DataFrame:
@@ -19,14 +20,19 @@ def hits(index: Index, questions: DataFrame, hierarchy: tuple[DataFrame, DataFra
     """(qid, rk, pos, page, text, score) of (qid, q); hierarchy is (postings, aliases)."""
     encoder = encoder or hashed_encoder()
     qn = T.norm_retrieval("q")
-    scores = dense.dense_scores(questions.select("qid", encoder(qn).alias("qv")), index.dense)
+    asked = questions.select("qid", encoder(qn).alias("qv"))
     rank = lambda d, n: sparse.top(d, n).drop("rk")
     if hierarchy:
         postings = hierarchy[0].select("heading", "pos") if compat else gate.locate(hierarchy[0], index.chunks)
-        allowed = gate.candidates(gate.candidate_keys(questions, hierarchy[1]), postings)
-        near = gate.with_fallback(gate.gated(scores, allowed, rank, 60, compat), rank(scores, 60), allowed)
+        allowed = cut(gate.candidates(gate.candidate_keys(questions, hierarchy[1]), postings))
+        if compat:
+            near = gate.with_fallback(gate.gated(dense.dense_scores(asked, index.dense), allowed, rank, 60, True), dense.dense_top(asked, index.dense).drop("rk"), allowed)
+        else:
+            inside = rank(dense.pair_scores(asked, index.dense, allowed), 60)
+            outside = asked.join(inside.select("qid").distinct(), "qid", "left_anti")
+            near = gate.with_fallback(inside, dense.dense_top(outside, index.dense).drop("rk"), allowed)
     else:
-        near = rank(scores, 60).withColumn("gate", F.lit("open"))
+        near = dense.dense_top(asked, index.dense).drop("rk").withColumn("gate", F.lit("open"))
     damp = near.where("gate = 'fallback'").select("qid").distinct().withColumn("f", F.lit(gate.DAMPING))
     undamped = near.withColumn("score", F.when(F.col("gate") == "fallback", F.col("score") / gate.DAMPING).otherwise(F.col("score")))
     words = sparse.cosine(question_terms(questions, T.word_ngrams(T.words(qn)), index.word_idf), index.words)

@@ -39,3 +39,19 @@ def document_json(docs: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
     """New rows, and old ones whose key isn't new."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
+
+
+def payload(docs: DataFrame, message: str = "extract") -> DataFrame:
+    """(name, body) -> (name, content, message) as an interface takes files: the content in base64, without line breaks."""
+    return docs.select("name", F.translate(F.base64(F.encode("body", "utf-8")), "\r\n", "").alias("content"), F.concat(F.lit(f"{message} "), "name").alias("message"))
+
+
+def upsert_versioned(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, body, version) after the writes of (name, body, replaces), and the names whose writes are refused.
+
+    A write states the version that it replaces, null for a new name; it is refused if the stored one is another by now.
+    """
+    met = new.join(old.select("name", F.col("version").alias("_is"), F.lit(True).alias("_there")), "name", "left")
+    fits = F.col("_is").eqNullSafe(F.col("replaces"))
+    written = met.where(fits).select("name", "body", F.sha2(F.encode("body", "utf-8"), 256).alias("version"))
+    return upsert(old.select("name", "body", "version"), written), met.where(~fits).select("name")
