@@ -175,3 +175,51 @@ def test_the_rest_stands_without_the_training_data_operators():
         for n in names:
             if n.endswith(".py"):
                 assert "llm" not in open(os.path.join(folder, n)).read(), n
+
+
+def test_only_hits_keep_their_score_and_others_are_rescored(spark):
+    hits = spark.createDataFrame([(1, 10, 0.5, 1), (2, 10, 0.9, 1), (2, 11, 0.8, 2), (2, 12, 0.8, 3)], "qid int, pos int, score double, rk int")
+    got = sorted((r.qid, r.pos, r.score, r.rk) for r in retrieve.rerank(hits, F.col("pos").cast("double"), 2).collect())
+    assert got == [(1, 10, 0.5, 1), (2, 11, 11.0, 2), (2, 12, 12.0, 1)]
+
+
+def test_best_of_batches_equals_all_scores(spark):
+    import random
+
+    from kashf.operators import dense, sparse
+
+    r = random.Random(3)
+    vectors = [(i, [r.choice((-1.0, 0.0, 0.5)) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [1.0]), (902, [None, 1.0, 1.0, 1.0]), (None, [9.0] * 4)]
+    index = spark.createDataFrame(vectors, "pos long, v array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, [r.choice((-1.0, 0.25, 1.0)) for _ in range(4)]) for i in range(7)], "qid int, qv array<double>")
+    got = dense.dense_top(asked, index, 9)
+    assert dict(got.dtypes) == {"qid": "int", "pos": "bigint", "score": "double", "rk": "int"}
+    want = sparse.top(dense.dense_scores(asked, index.where("pos < 300")), 9)
+    both = [sorted((x.qid, x.rk, x.pos, x.score) for x in d.collect()) for d in (got, want)]
+    assert both[0] == both[1]
+    pairs = spark.createDataFrame([(0, 5), (0, 5), (3, 7), (3, 999)], "qid int, pos long")
+    assert sorted((x.qid, x.pos) for x in dense.pair_scores(asked, index, pairs).collect()) == [(0, 5), (3, 7)]
+    assert dense.dense_top(asked.where("qid < 0"), index, 9).count() == 0
+
+
+def test_missing_hierarchy_flags_and_versions(spark, tmp_path):
+    from kashf.functions.settings import flag
+    from kashf.sources.hierarchy import load_hierarchy
+
+    assert load_hierarchy(spark, str(tmp_path / "none.json")) is None
+    assert flag("X", True, {}) and not flag("X", True, {"X": "no"}) and flag("X", False, {"X": " ON "})
+    old = spark.createDataFrame([("a", "1", "va"), ("b", "2", "vb")], "name string, body string, version string")
+    new = spark.createDataFrame([("a", "3", "va"), ("b", "4", "stale"), ("c", "5", None)], "name string, body string, replaces string")
+    kept, refused = sinks.upsert_versioned(old, new)
+    assert {x.name: x.body for x in kept.collect()} == {"a": "3", "b": "2", "c": "5"} and [x.name for x in refused.collect()] == ["b"]
+
+
+def test_hot_terms_are_salted_without_changing_weights(spark, monkeypatch):
+    from kashf.operators import sparse
+
+    docs = spark.createDataFrame([(i, ["all", f"t{i % 7}"]) for i in range(60)], "pos int, ws array<string>")
+    counts = sparse.term_counts(docs, "pos", F.col("ws"))
+    weights = sparse.idf(counts, docs.agg(F.count("*").alias("n")))
+    want = sorted((r.pos, r.term, round(r.w, 9)) for r in sparse.tfidf(counts, weights, "pos").collect())
+    monkeypatch.setattr(sparse, "BROADCAST_TERMS", 3)
+    assert sorted((r.pos, r.term, round(r.w, 9)) for r in sparse.tfidf(counts, weights, "pos").collect()) == want
