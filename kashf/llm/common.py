@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pyarrow as pa
@@ -64,11 +63,17 @@ def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512, setup=None, finis
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of its own only where none is set."""
+    """The shared folder that the cluster names, or else one in the warehouse, which driver and executors share as well.
+
+    A master with executors of its own must name a folder: a local warehouse would be another one on each machine.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or os.path.join(os.path.abspath("spark-warehouse"), "checkpoints")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local[") and sc.master != "local" and base.startswith(("file:", "/")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"{base.rstrip('/')}/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
