@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, dense_rank_in, stored, table
 
 BINS = 2048
+MOST_VARIED = 200_000
 GROUP_SHARE = 0.02
 TOLERANCE = 0.0005
 TOP = 1 << 62
@@ -37,6 +38,9 @@ def metadata(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"), "lang", "source")
     varied = base.groupBy("g", "size").agg(F.min("lang").alias("l0"), F.min("source").alias("s0"), F.max("lang").alias("l1"), F.max("source").alias("s1"))
     varied = varied.where((F.col("l0") != F.col("l1")) | (F.col("s0") != F.col("s1"))).select("g", F.col("size").alias("z"), "l0", "s0")
+    varied = stored(varied, "varied")
+    # a large group of equal texts is one row here; with many such groups no single one is large, and Spark splits the skewed
+    varied = F.broadcast(varied) if varied.count() <= MOST_VARIED else varied
     b = base.alias("b").join(varied.alias("v"), (F.col("b.g") == F.col("v.g")) & (F.col("size") == F.col("z")), "left")
     b = b.select("doc_id", "size", "text_crc32", F.col("b.g").alias("g"), F.coalesce("l0", "lang").alias("lang"), F.coalesce("s0", "source").alias("source"))
     tie = F.shiftrightunsigned("g", 22)  # 42 bits
