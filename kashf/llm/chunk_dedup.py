@@ -223,7 +223,7 @@ def answer_windows(packets: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def chunk_dedup(docs: DataFrame, block_docs: int = 4096, with_text: bool = False, around: bool = False) -> DataFrame:
+def chunk_dedup(docs: DataFrame, block_docs: int = 2048, with_text: bool = False, around: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeats, n_removed, n_spans, kept_sha256 of every row, and kept_text if asked for."""
     dealt, blocks = deal(docs, block_docs, True)
     parts = partitions(docs)
