@@ -53,7 +53,7 @@ class WordIds:
     keeps the words that it met first, the frequent ones.
     """
 
-    most, kept, LONGEST = 300_000, 100_000, 48
+    most, kept, LONGEST = 800_000, 400_000, 48
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -70,15 +70,20 @@ class WordIds:
 
     def learn(self, words: set[str]) -> set[str]:
         """Encodes together what the cache lacks; returns what is too long to be kept."""
-        parts, whole = {}, []
+        cores, parts, whole = set(), {}, set()
         for w in words:
-            m = PLAIN.fullmatch(w)
-            if m:
-                parts[w] = m[1].lower(), m[2]
+            if w.isascii() and w.isalpha() and w.islower():
+                cores.add(w)
+            elif m := PLAIN.fullmatch(w):
+                core, tail = m[1].lower(), m[2]
+                parts[w] = core, tail
+                if core not in self.known:
+                    cores.add(core)
+                if tail and tail not in self.known:
+                    whole.add(tail)
             else:
-                whole.append(w)
-        cores = list({core for core, _ in parts.values()}.difference(self.known))
-        whole = list({*whole, *(tail for _, tail in parts.values() if tail and tail not in self.known)})
+                whole.add(w)
+        cores, whole = list(cores), list(whole)
         for at in range(0, len(cores), 8192):
             some = cores[at : at + 8192]
             ids = np.array(self.letters.encode(" ".join(some).translate(self.bytes_of), add_special_tokens=False).ids, "<u4")
