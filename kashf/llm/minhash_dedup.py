@@ -51,7 +51,7 @@ def seeds(n: int, what: int) -> np.ndarray:
 class Words(dict):
     def __missing__(self, w):
         h = xxhash.xxh3_64_intdigest(w)
-        if len(w) <= 64 and len(self) < 1_000_000:
+        if len(w) <= 64 and len(self) < 200_000:
             self[w] = h
         return h
 

@@ -53,12 +53,13 @@ class WordIds:
     keeps the words that it met first, the frequent ones.
     """
 
-    most, kept, LONGEST = 800_000, 400_000, 48
+    LONGEST = 48
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, most: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.known: dict[str, bytes] = {}
+        self.most, self.kept = most, most // 2
         self.tokenizer = _tokenizer(model)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -120,14 +121,15 @@ def parcels(texts: list[str], most: int = 2_000_000):
         yield texts[at:]
 
 
-def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece."""
+def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, most_words: int = 800_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every piece; a worker keeps at most ``most_words`` words, which changes its speed only."""
 
     def setup():
         state = worker_state()
-        if ("word ids", model) not in state:
-            state[("word ids", model)] = WordIds(model)
-        return state[("word ids", model)]
+        key = ("word ids", model, most_words)
+        if key not in state:
+            state[key] = WordIds(model, most_words)
+        return state[key]
 
     def fn(words, cols):
         rows = []
@@ -337,8 +339,8 @@ def places(plan) -> dict[int, tuple[np.ndarray, ...]]:
     return {l: tuple(np.array(x, np.int64) for x in zip(*r)) for l, r in runs.items()}
 
 
-def pack(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
-    cut = stored(pieces(docs, model, capacity), "pieces")
+def pack(docs: DataFrame, model: str, capacity: int = CAPACITY, most_words: int = 800_000) -> DataFrame:
+    cut = stored(pieces(docs, model, capacity, most_words), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     shared = docs.sparkSession.sparkContext.broadcast(places(configuration_plan(counts, capacity)))
     ranked = dense_rank_in(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")

@@ -100,7 +100,7 @@ class WordScores(dict):
         return s
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), float, len(words))
 
