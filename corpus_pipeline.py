@@ -57,7 +57,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(packing.MODEL))
+    # workers serve all stages, so none of them keeps much
+    return packing.pack(docs, tokenizer_path(packing.MODEL), most_words=100_000)
 
 
 STAGES = [
