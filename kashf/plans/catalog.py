@@ -449,6 +449,30 @@ def rerank_topk(spark, sf_dir):
     return retrieve.rerank(_hybrid(spark, sf_dir, 30), scorer, 8).select("qid", "pos", "score", "rk")
 
 
+Q_GATED = f"""WITH {Q_DENSE.replace('sc AS', 'd AS')}, {q_tfidf(Q_WORD_TERMS, Q_WORD_TERMS)}, gated AS (SELECT qid FROM q WHERE section < 8),
+i AS ({q_top('(SELECT * FROM d WHERE label = section AND score > 0.2 AND section < 8)', 60, 'score')}), a AS ({q_top('d', 60, 'score')}),
+near AS (SELECT qid, pos, score FROM i UNION ALL SELECT qid, pos, score FROM a WHERE qid NOT IN (SELECT qid FROM i)),
+m AS (SELECT qid, pos, near.score * 0.6 + coalesce(round(w.score, 6), 0) * 0.2 AS score FROM near LEFT JOIN sc w USING (qid, pos)), h AS ({q_top('m', 30)}),
+f AS (SELECT qid, pos, score * CASE WHEN qid IN (SELECT qid FROM gated) AND qid NOT IN (SELECT qid FROM i) THEN 0.85::DOUBLE ELSE 1 END AS score FROM h),
+s AS (SELECT qid, pos, CASE WHEN count(*) OVER (PARTITION BY qid) = 1 THEN score ELSE ((pos * 7919 + qid * 104729) % 1000)::DOUBLE + score END AS score FROM f)
+{q_top('s', 8)}"""
+
+
+@query(Q_GATED)
+def retrieve_full(spark, sf_dir):
+    """The gate with its fallback, weights, damping and reranking in one: as a question goes through the engine."""
+    from .engine import weighted
+
+    asked, index = _dense(spark, sf_dir)
+    some = asked.where("section < 8").select("qid")
+    pairs = dense.pair_scores(asked, index, _sections(asked, index).join(some, "qid", "left_semi"))
+    inside = sparse.top(pairs.where("score > 0.2"), 60).drop("rk")
+    near = gate.with_fallback(inside, dense.dense_top(asked.select("qid", "qv"), index, 60).drop("rk"), some)
+    scorer = ((F.col("pos") * 7919 + F.col("qid") * 104729) % 1000).cast("double") + F.col("score")
+    best = retrieve.rerank(weighted(near, None, _cosines(spark, sf_dir, _bigrams())), scorer, 8)
+    return best.select("qid", "pos", F.round("score", 6).alias("score"), "rk")
+
+
 # ---- headings --------------------------------------------------------------------------------------------------
 
 Q_POSTINGS = rf"""SELECT regexp_replace(lower({q_norm('heading')}), '^section:\s*', '') AS heading, nullif(regexp_extract(posting, '^(.*)_([0-9]+)_([0-9]+)$', 1), '') AS file,

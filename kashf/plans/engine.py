@@ -16,6 +16,14 @@ def question_terms(questions: DataFrame, terms, weights: DataFrame) -> DataFrame
     return sparse.tfidf(sparse.term_counts(questions, "qid", terms), weights, "qid")
 
 
+def weighted(near: DataFrame, chars: DataFrame | None, words: DataFrame | None, k: int = 30) -> DataFrame:
+    """(qid, pos, score, rk) of candidates with their gate: the weighted sum is ranked undamped, and what came by the fallback is damped as a whole."""
+    damp = near.where("gate = 'fallback'").select("qid").distinct().withColumn("f", F.lit(gate.DAMPING))
+    undamped = near.withColumn("score", F.when(F.col("gate") == "fallback", F.col("score") / gate.DAMPING).otherwise(F.col("score")))
+    mixed = retrieve.combine(undamped, chars, words, k).join(damp, "qid", "left")
+    return mixed.withColumn("score", F.col("score") * F.coalesce("f", F.lit(1.0))).drop("f")
+
+
 def hits(index: Index, questions: DataFrame, hierarchy: tuple[DataFrame, DataFrame] | None = None, encoder=None, reranker=None, k: int = 8, compat: bool = False) -> DataFrame:
     """(qid, rk, pos, page, text, score) of (qid, q); hierarchy is (postings, aliases)."""
     encoder = encoder or hashed_encoder()
@@ -33,12 +41,9 @@ def hits(index: Index, questions: DataFrame, hierarchy: tuple[DataFrame, DataFra
             near = gate.with_fallback(inside, dense.dense_top(outside, index.dense).drop("rk"), allowed)
     else:
         near = dense.dense_top(asked, index.dense).drop("rk").withColumn("gate", F.lit("open"))
-    damp = near.where("gate = 'fallback'").select("qid").distinct().withColumn("f", F.lit(gate.DAMPING))
-    undamped = near.withColumn("score", F.when(F.col("gate") == "fallback", F.col("score") / gate.DAMPING).otherwise(F.col("score")))
     words = sparse.cosine(question_terms(questions, T.word_ngrams(T.words(qn)), index.word_idf), index.words)
     chars = sparse.cosine(question_terms(questions, T.char_ngrams(F.lower(qn)), index.char_idf), index.chars)
-    mixed = retrieve.combine(undamped, chars, words).join(damp, "qid", "left").withColumn("score", F.col("score") * F.coalesce("f", F.lit(1.0))).drop("f")
-    full = mixed.join(index.chunks.select("pos", "page", "text"), "pos").join(questions.select("qid", "q"), "qid")
+    full = weighted(near, chars, words).join(index.chunks.select("pos", "page", "text"), "pos").join(questions.select("qid", "q"), "qid")
     return retrieve.rerank(full, reranker, k).select("qid", "rk", "pos", "page", "text", "score")
 
 
