@@ -122,3 +122,23 @@ def test_query_judges_by_the_whole_rule(spark, tmp_path):
     data = [(1, "a short text", None, None, 0), (2, "a short text", None, None, 0)]
     documents(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.n_removed for r in C.op5_chunk_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 12}
+
+
+def test_what_is_asked_about_matches_is_no_more_than_the_texts(spark, monkeypatch):
+    asked, real = [], C.asked
+    monkeypatch.setattr(C, "asked", lambda *x: asked.append(real(*x)) or asked[-1])
+    data = short_passages()
+    C.chunk_dedup(documents(spark, data), around=True)
+    sent = [q.selectExpr("sum(length(packet))").first()[0] for q in asked]
+    assert len(sent) == 3 and 0 < sent[2] < sum(len(r[1]) for r in data)
+
+
+def test_frequent_surroundings_are_asked_for_string_by_string(spark):
+    # chunks of even and of odd sizes; a phrase that many texts hold between others, copies, and a text too short for any match
+    data = short_passages()[:40] + [(200 + i, f"{prose(6000 + i, 12)} {prose(1, 9)} {prose(7000 + i % 5, 12)}", None, None, 0) for i in range(40)]
+    data += [(300, prose(6000, 12), None, None, 0), (301, prose(1, 9)[:80], None, None, 0), (302, "ab" * 200, None, None, 0), (303, f"x{'ab' * 150}y", None, None, 0)]
+    want = brute_matches(data)
+    assert sum(0 < n < C.LEAST for n in want.values()) > 5
+    for hot in (0, 3, C.HOT):
+        out = C.chunk_dedup(documents(spark, data), block_docs=9, around=True, hot=hot).collect()
+        assert {r.doc_id: r.n_removed for r in out} == want
