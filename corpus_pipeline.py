@@ -46,7 +46,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.suffix_dedup(docs, with_text=True).where("doc_id is not null").select(F.col("doc_id").alias("_cut_id"), F.col("kept_text").alias("_cut_text"))
+    # workers serve all stages: blocks of half the documents
+    cut = suffix_dedup.suffix_dedup(docs, block_docs=2048, with_text=True).where("doc_id is not null").select(F.col("doc_id").alias("_cut_id"), F.col("kept_text").alias("_cut_text"))
     # a doc_id is unique after stage 2; only what is left of a text meets its row again. Rows without a doc_id keep their texts
     rows = plain_names(docs)
     own = rows.where("doc_id is not null").withColumn("_no_text", F.col("text").isNull()).drop("text")

@@ -31,6 +31,15 @@ def worker_state() -> dict:
     return sys.__dict__.setdefault("_kashf_worker_state", {})
 
 
+def give_back() -> None:
+    """Hands freed memory to the system: workers live on, and what one stage has freed would be added to what the next one takes."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_bytes(t) -> bytes:
     return (t or "").encode("utf-8", "surrogatepass")
 
@@ -58,6 +67,8 @@ def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512, setup=None, finis
             got = finish(state)
             if got is not None:
                 yield pack(got)
+        state = got = part = b = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import answered, answers_of, asked, deal, partitions, rows_of
-from .common import table, text_bytes, worker_state
+from .common import give_back, table, text_bytes, worker_state
 
 WINDOW, K = 100, 24
 HOT = 20_000
 SPAN = WINDOW - K + 1
-SOME = 1 << 20  # bytes that are hashed at once
+SOME = 1 << 18  # bytes that are hashed at once; their sums and places take some hundred times as much
 
 
 class SuffixLevels:
@@ -245,6 +245,7 @@ def suffix_dedup(docs: DataFrame, block_docs: int = 4096, with_text: bool = Fals
     parts = partitions(docs)
 
     def block_of(group):
+        give_back()
         rows = rows_of(group, True)
         return rows, Block([text_bytes(t) for _, t in rows], buckets)
 

@@ -3,9 +3,10 @@ import random
 
 import numpy as np
 
+from kashf.llm import suffix_dedup as S
 from kashf.llm.suffix_dedup import WINDOW, SuffixLevels, suffix_dedup
 
-from .cases import documents, got, rows, table
+from .cases import documents, got, prose, rows, table
 
 
 def brute(data):
@@ -70,3 +71,16 @@ def test_levels_grow_geometrically():
         assert family.add(batch).tolist() == expected
         sizes = [len(x) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_blocks_are_hashed_in_little_memory():
+    import tracemalloc
+
+    texts = [prose(i, 400).encode() for i in range(700)]
+    assert sum(map(len, texts)) > 1 << 21
+    S._hasher()
+    tracemalloc.start()
+    S.Block(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
