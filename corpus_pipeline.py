@@ -32,11 +32,38 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
+def place(salt: int, bits: int):
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(bits))
+
+
+def bitmap(ids: DataFrame, salt: int, most_bits: int = 1 << 26) -> tuple[DataFrame, int]:
+    """The bits that a hash gives the doc_ids, 64 to 128 for each of them, at most ``most_bits`` (8 MB), as (_part, _bits) of 4 KB each; the number of bits."""
+    bits = min(most_bits, max(1 << 15, 1 << (64 * ids.count()).bit_length()))
+    placed = ids.select(place(salt, bits).alias("_at"))
+    parts = placed.groupBy(F.bitmap_bucket_number("_at").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    return stored(parts, "bitmap"), bits
+
+
+def in_bitmap(rows: DataFrame, held: tuple[DataFrame, int], salt: int, set_: bool = True) -> DataFrame:
+    """The rows whose doc_id's bit is set; if not ``set_``, the others, of which none has an id of the bitmap."""
+    parts, bits = held
+    at = F.bitmap_bit_position(place(salt, bits))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, 1)), 16, 10)
+    is_set = F.coalesce(F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.join(F.broadcast(parts), F.bitmap_bucket_number(place(salt, bits)) == F.col("_part"), "left")
+    return joined.where(is_set if set_ else ~is_set).select(*rows.columns)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_components(docs, n=5, percent=80, bands=38, rows=5)
-    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
+    kept = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("_n")), "kept")
+    unstore(spark, found)
     rows = plain_names(docs)
-    out = rows.join(kept.where("_n = 1"), "doc_id", "left_semi").select(*rows.columns)
+    # texts are not shuffled to meet the ids that stay: a bit that no other id has settles a row, and the few ids whose bits clash are joined
+    others = bitmap(kept.where("_n != 1"), 1)
+    clash = stored(in_bitmap(kept.where("_n = 1").select("doc_id"), others, 1), "clash")
+    exact = in_bitmap(in_bitmap(rows, others, 1), bitmap(clash, 2), 2).join(clash, "doc_id", "left_semi")
+    out = in_bitmap(rows, others, 1, False).where("doc_id is not null").select(*rows.columns).unionByName(exact.select(*rows.columns))
     again = kept.where("_n > 1")
     if not again.isEmpty():
         # rows that share a doc_id are of one group: the one with the least text stays

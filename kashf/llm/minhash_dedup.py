@@ -208,6 +208,9 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     # texts that differ under one doc_id are classes of one name, and so linked
     classes = linked.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "n_shingles", "keys", "sketch", "fine"), "doc_id").alias("m"))
     classes = stored(classes.select("s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.keys", "m.sketch", "m.fine"), "classes")
+    # keys and sketches are most of the disk, and the result needs none of them
+    sizes, names = stored(sig.select("doc_id", "n_shingles", "s1", "s2"), "sizes"), stored(classes.select("s1", "s2", "rep"), "names")
+    unstore(docs.sparkSession, sig)
     banded = classes.select("rep", F.explode("keys").alias("key"))
     shared = stored(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     seen = stored(banded.join(shared, "key"), "seen")
@@ -215,6 +218,7 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     member = stored(seen.select("rep", "key").join(score, "rep"), "members")
     centre = stored(member.groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("rep").alias("least"))).alias("m")).select("key", F.bitwise_not("m.least").alias("c")), "centres")
     sketches = stored(classes.select("rep", "n", "sketch", "fine").join(score, "rep", "left_semi"), "sketches")
+    unstore(docs.sparkSession, classes, shared, seen)
 
     def alike(pairs):
         """(a, b) of the (a, b) whose sketches don't rule them out."""
@@ -229,7 +233,7 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     pairs = stored(alike(pairs.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")), "pairs")
     links = confirmed(pairs, texts, n, percent)
     labels, known = components(links), pairs
-    done = [shared, seen, score, centre, pairs, links]
+    done = [score, centre, pairs, links]
 
     def buckets(labels):
         """(key, rep, label), and of the buckets with several components (key, main, some): the largest one and some members of it."""
@@ -263,8 +267,8 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     if not late.isEmpty():
         labels = components(links.unionByName(late))
     unstore(docs.sparkSession, *done, member, sketches, texts, rest, more, late)
-    named_sets = classes.select("s1", "s2", "rep").join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
-    out = sig.select("doc_id", "n_shingles", "s1", "s2").join(named_sets, ["s1", "s2"], "left")
+    named_sets = names.join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
+    out = sizes.join(named_sets, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -100,3 +100,50 @@ def test_every_stage_takes_an_empty_table(spark):
     empty = documents(spark, [])
     for _, stage in C.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def shuffled(node) -> int:
+    """Bytes that the exchanges of a plan that has run have taken in."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return shuffled(node.executedPlan())
+    if "QueryStage" in name:
+        return shuffled(node.plan())
+    own = node.metrics().get("dataSize").get().value() if name == "Exchange" else 0
+    return own + sum(shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_near_dedup_shuffles_few_texts_and_leaves_little_on_disk(spark):
+    data = [(i, prose(i, 60), "en", "s", 0) for i in range(400)]
+    data += [(1000 + i, t, "en", "s", 0) for i, (_, t, *_) in enumerate(data[:40])]
+    docs = documents(spark, data, clashing=False)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before, broadcast = set(os.listdir(shared)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.near_dedup_stage(spark, docs.localCheckpoint(), SF)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(400))
+        assert shuffled(out._jdf.queryExecution().executedPlan()) < sum(len(r[1]) for r in data) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    left = set(os.listdir(shared)) - before
+    assert not [x for x in left if x.startswith(("kashf-signatures", "kashf-classes"))]
+    assert sum(spark.read.parquet(f"{shared}/{x}").count() for x in left if x.startswith("kashf-kept")) == len(data)
+
+
+def test_bitmaps_tell_which_ids_may_be_held(spark):
+    held = spark.createDataFrame([(i,) for i in range(0, 6000, 3)], "doc_id long")
+    rows_ = spark.createDataFrame([(i, "t") for i in range(-50, 6000)], "doc_id long, text string")
+    for most in (1 << 26, 1 << 12, 1):
+        bits = C.bitmap(held, 1, most)
+        yes, no = ({r.doc_id for r in C.in_bitmap(rows_, bits, 1, x).collect()} for x in (True, False))
+        assert yes | no == set(range(-50, 6000)) and not yes & no and yes >= set(range(0, 6000, 3))
+        assert most < 1 << 26 or len(yes) < 2200
+
+
+def test_near_dedup_is_exact_where_bits_clash(spark, monkeypatch):
+    docs = documents(spark, clashing=False)
+    want = table(data_of(C.near_dedup_stage(spark, docs, SF)))
+    own = C.bitmap
+    monkeypatch.setattr(C, "bitmap", lambda ids, salt: own(ids, salt, 2))
+    assert table(data_of(C.near_dedup_stage(spark, docs, SF))) == want
