@@ -18,7 +18,11 @@ def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
 
 def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, df, idf); ``n_docs`` is one row (n), so that its broadcast is bounded."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return idf_of(counts.groupBy("term").agg(F.count("*").alias("df")), n_docs)
+
+
+def idf_of(df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df)"""
     return df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 

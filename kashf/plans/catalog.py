@@ -9,11 +9,12 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import times as M
 from ..functions.fine_intents import FINE_INTENTS, fine_intents
-from ..operators import compose, dense, evaluate, gate, priors, retrieve, sparse
+from ..operators import compose, corpus, dense, evaluate, gate, priors, retrieve, sparse
 from ..sources import chunks as C
 from ..sources import index as I
 from ..sources import sinks as K
 from . import fixtures as X
+from .lineage import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -222,13 +223,13 @@ def _docs(spark, sf_dir):
 
 @query(Q_TF)
 def word_tf(spark, sf_dir):
-    return sparse.term_counts(_docs(spark, sf_dir), "pos", T.words(F.col("norm"))).withColumnRenamed("pos", "doc_id")
+    return corpus.term_counts(read(spark, sf_dir, "documents"))
 
 
 @query(f"WITH tf AS ({Q_TF}), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1, 6) AS idf FROM tf, n GROUP BY term")
 def word_idf(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return sparse.idf(sparse.term_counts(d, "pos", T.words(F.col("norm"))), d.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
+    d = read(spark, sf_dir, "documents")
+    return sparse.idf_of(corpus.document_counts(d), d.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
 
 
 def q_tfidf(doc_terms: str, question_terms: str | None = None, source: str = "benchmark") -> str:
@@ -259,9 +260,17 @@ def _questions(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"), T.norm_retrieval("text").alias("norm"))
 
 
-def _cosines(spark, sf_dir, terms):
-    dv, weights = _vectors(spark, sf_dir, terms)
-    qv = sparse.tfidf(sparse.term_counts(_questions(spark, sf_dir), "qid", terms), weights, "qid")
+def _terms(kind):
+    return _bigrams() if kind == "words" else T.char_ngrams(F.lower("norm"))
+
+
+def _cosines(spark, sf_dir, kind, k=None, pairs=None):
+    """At least the k best of each question, or the given pairs; of all that share a term where the corpus can't be gone through in blocks."""
+    found = corpus.cosines(read(spark, sf_dir, "documents"), _questions(spark, sf_dir), kind, k, pairs)
+    if found is not None:
+        return found
+    dv, weights = _vectors(spark, sf_dir, _terms(kind))
+    qv = sparse.tfidf(sparse.term_counts(_questions(spark, sf_dir), "qid", _terms(kind)), weights, "qid")
     return sparse.cosine(qv, dv).withColumn("score", F.round("score", 6))
 
 
@@ -271,7 +280,10 @@ def _bigrams():
 
 @query(f"WITH {q_tfidf(Q_WORD_TERMS)} SELECT pos, term, round(w, 6) AS w FROM dv")
 def word_bigram_tfidf(spark, sf_dir):
-    return _vectors(spark, sf_dir, _bigrams())[0].withColumn("w", F.round("w", 6))
+    d = read(spark, sf_dir, "documents")
+    if dict(d.dtypes)["doc_id"] not in corpus.WHOLE:
+        return _vectors(spark, sf_dir, _bigrams())[0].withColumn("w", F.round("w", 6))
+    return corpus.word_vectors(d)
 
 
 def q_top(rel: str, k: int, score: str = "round(score, 6)") -> str:
@@ -280,12 +292,12 @@ def q_top(rel: str, k: int, score: str = "round(score, 6)") -> str:
 
 @query(f"WITH {q_tfidf(Q_CHAR_TERMS, Q_CHAR_TERMS)} {q_top('sc', 8)}")
 def char_tfidf_topk(spark, sf_dir):
-    return sparse.top(_cosines(spark, sf_dir, T.char_ngrams(F.lower("norm"))), 8).select("qid", "pos", "score", "rk")
+    return sparse.top(_cosines(spark, sf_dir, "chars", 8), 8).select("qid", "pos", "score", "rk")
 
 
 @query(f"WITH {q_tfidf(Q_WORD_TERMS, Q_WORD_TERMS)} {q_top('sc', 8)}")
 def sparse_topk(spark, sf_dir):
-    return sparse.top(_cosines(spark, sf_dir, _bigrams()), 8).select("qid", "pos", "score", "rk")
+    return sparse.top(_cosines(spark, sf_dir, "words", 8), 8).select("qid", "pos", "score", "rk")
 
 
 # ---- intents and times -----------------------------------------------------------------------------------------
@@ -420,8 +432,8 @@ def gate_fallback(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, k):
     asked, index = _dense(spark, sf_dir)
-    near = dense.dense_top(asked.select("qid", "qv"), index.join(_docs(spark, sf_dir).select("pos"), "pos", "left_semi"), 60)
-    return retrieve.combine(near, _cosines(spark, sf_dir, T.char_ngrams(F.lower("norm"))), _cosines(spark, sf_dir, _bigrams()), k)
+    near = cut(dense.dense_top(asked.select("qid", "qv"), index.join(_docs(spark, sf_dir).select("pos"), "pos", "left_semi"), 60))
+    return retrieve.combine(near, *(_cosines(spark, sf_dir, kind, pairs=near) for kind in ("chars", "words")), k)
 
 
 def q_hybrid(k):
@@ -467,9 +479,9 @@ def retrieve_full(spark, sf_dir):
     some = asked.where("section < 8").select("qid")
     pairs = dense.pair_scores(asked, index, _sections(asked, index).join(some, "qid", "left_semi"))
     inside = sparse.top(pairs.where("score > 0.2"), 60).drop("rk")
-    near = gate.with_fallback(inside, dense.dense_top(asked.select("qid", "qv"), index, 60).drop("rk"), some)
+    near = cut(gate.with_fallback(inside, dense.dense_top(asked.select("qid", "qv"), index, 60).drop("rk"), some))
     scorer = ((F.col("pos") * 7919 + F.col("qid") * 104729) % 1000).cast("double") + F.col("score")
-    best = retrieve.rerank(weighted(near, None, _cosines(spark, sf_dir, _bigrams())), scorer, 8)
+    best = retrieve.rerank(weighted(near, None, _cosines(spark, sf_dir, "words", pairs=near)), scorer, 8)
     return best.select("qid", "pos", F.round("score", 6).alias("score"), "rk")
 
 
@@ -566,7 +578,9 @@ def q_exploded(hits: str) -> str:
 WITH {q_tfidf(Q_WORD_TERMS, Q_WORD_TERMS)}, h AS ({q_top('sc', 3)}), t AS (SELECT h.qid, h.rk, b.text AS q, {q_intent(q_norm('b.text'), L.LATIN_RULES)} AS intent, d.text FROM h JOIN documents d ON d.doc_id = h.pos JOIN benchmark b ON b.item_id = h.qid)
 SELECT qid, rk, snippet FROM {q_snippets(q_exploded('t'), LATIN_HINT, None)}""")
 def best_snippet(spark, sf_dir):
-    hits = sparse.top(_cosines(spark, sf_dir, _bigrams()), 3).join(_docs(spark, sf_dir).select("pos", "page", "text"), "pos").select("qid", "rk", "pos", "page", "text")
+    best = sparse.top(_cosines(spark, sf_dir, "words", 3), 3)
+    few = _questions(spark, sf_dir).limit(dense.BROADCAST_QUESTIONS + 1).count() <= dense.BROADCAST_QUESTIONS
+    hits = _docs(spark, sf_dir).select("pos", "page", "text").join(F.broadcast(best) if few else best, "pos").select("qid", "rk", "pos", "page", "text")
     asked = _questions(spark, sf_dir).select("qid", "q", L.classify("q", L.LATIN_RULES).alias("intent"))
     return compose.best_snippets(hits, asked, LATIN_HINT, {})
 
@@ -685,7 +699,7 @@ def evaluation_summary(spark, sf_dir):
 @query(f"""
 WITH {q_tfidf(Q_WORD_TERMS, Q_WORD_TERMS)}, h AS ({q_top('sc', 8)}) SELECT qid, string_agg(rk || '. {compose.FILE} - page ' || (pos // 10), chr(10) ORDER BY rk) AS sources, string_agg((pos // 10)::VARCHAR, ',' ORDER BY rk) AS pages FROM h GROUP BY qid""")
 def source_list(spark, sf_dir):
-    h = sparse.top(_cosines(spark, sf_dir, _bigrams()), 8).withColumn("page", F.floor(F.col("pos") / 10).cast("int"))
+    h = sparse.top(_cosines(spark, sf_dir, "words", 8), 8).withColumn("page", F.floor(F.col("pos") / 10).cast("int"))
     p = h.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "page"))), lambda x: x["page"]).alias("p")).withColumn("sources", compose.source_lines(F.col("p")))
     again = T.pages_of(F.concat(F.lit("x\nSources:\n"), F.col("sources")))
     return p.select("qid", "sources", F.array_join(again.cast("array<string>"), ",").alias("pages"))
